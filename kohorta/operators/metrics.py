@@ -117,7 +117,7 @@ def roc_on_grid(points: DataFrame, keys: Sequence[str] = (), n: int = 100) -> Da
     last = n - 1
     seg = points.filter(F.col("fpr") > F.col("fpr0"))
     g = F.explode(F.sequence(F.floor(F.col("fpr0") * last), F.ceil(F.col("fpr") * last)))
-    inside = seg.withColumn("g", g.cast("int")).withColumn("x", F.col("g") / F.lit(float(last))).filter(
+    inside = seg.withColumn("g", g).withColumn("g", F.col("g").cast("int")).withColumn("x", F.col("g") / F.lit(float(last))).filter(
         (F.col("x") >= F.col("fpr0")) & (F.col("x") < F.col("fpr")))
     slope = (F.col("tpr") - F.col("tpr0")) / (F.col("fpr") - F.col("fpr0"))
     value = F.when(F.col("g") == 0, 0.0).otherwise(F.col("tpr0") + (F.col("x") - F.col("fpr0")) * slope)
@@ -200,7 +200,7 @@ def patient_accuracy(predictions: DataFrame, by_model: bool = True, record: str
     counts = per.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("n"))
     a, n = F.col("a"), F.col("n")
     total, s1 = F.sum(n).cast("double"), F.sum(a * n)
-    pct = [F.percentile("a", q, "n") for q in (0.25, 0.5, 0.75)]  # distinct fractions only
+    pct = [F.percentile("a", q, n) for q in (0.25, 0.5, 0.75)]  # distinct fractions only
     mean = s1 / total
     spread = F.sum(n * a * a) - s1 * s1 / total
     return counts.groupBy(*keys).agg(

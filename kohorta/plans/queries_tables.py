@@ -96,11 +96,10 @@ def _(spark, sf):
 
 
 @query("SC8_read_back", with_sql("cohort") + """ SELECT CAST("Record" AS VARCHAR) AS "Record", "Diagnosed",
-    ROUND(price_std, 4) AS price_std, ROUND("Pr01", 4) AS "Pr01" FROM cohort""", "price_std, Pr01")
+    price_sum, "Pr01" FROM cohort""", "price_sum, Pr01")
 def _(spark, sf):
     root = scratch(spark, "results")
-    IO.write_result(B.cohort(spark, sf).select("Record", "Diagnosed", F.round("price_std", 4).alias("price_std"), "Pr01"),
-                    root, "features", "features.csv")
+    IO.write_result(B.cohort(spark, sf).select("Record", "Diagnosed", "price_sum", "Pr01"), root, "features", "features.csv")
     return IO.read_result(spark, root, "features", "features.csv")
 
 
