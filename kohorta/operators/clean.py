@@ -1,6 +1,7 @@
 """Variance and correlation filters.
 
-Correlations come from one pass of co-moments. Narrow tables use built-in covariances; wide tables reduce per-batch
+Correlations come from one pass of co-moments. A few columns use built-in covariances (their generated code grows with
+the square of the width); wider tables reduce per-batch
 numpy co-moments (values shifted by the column means first, so nothing cancels) with a `groupBy(i, j)`. Both are
 pairwise-complete, and a constant column has a NULL correlation, which never exceeds a threshold.
 """
@@ -18,7 +19,7 @@ from ..functions.columns import feature_columns, unpivot
 
 VARIANCE_THRESHOLD = 0.1
 CORRELATION_THRESHOLD = 0.9
-NARROW = 24
+NARROW = 4
 
 
 def _q(name: str):

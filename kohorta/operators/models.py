@@ -37,6 +37,14 @@ def prepare_xy(df: DataFrame, features: Sequence[str] | None = None, keep: Seque
         array_to_vector(F.array(*cols)).alias("features"))
 
 
+def training_table(df: DataFrame, key: str = "Record") -> DataFrame:
+    """Cached and evenly spread by key: iterative fits pass over it many times, and a small table that arrives in one
+    partition would otherwise keep one slot busy."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, key).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 # ---- tree families and linear models ------------------------------------------------------------
 
 def _with_score(model, df: DataFrame) -> DataFrame:

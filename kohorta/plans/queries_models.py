@@ -173,19 +173,19 @@ def _xy(spark, sf, features=FEATS):
 
 @query("FS1_rfe")
 def _(spark, sf):
-    table = _xy(spark, sf).cache()
-    ranking, _curve = select.rfe_path(table, len(FEATS), 42, 3, trees=10)
+    table = models.training_table(_xy(spark, sf))
+    ranking, _curve = select.rfe_path(table, len(FEATS), 42, 3, trees=10, depth=5)
     return spark.createDataFrame(list(zip(FEATS, ranking)), "Feature string, rank int")
 
 
 @query("FS2_rfe_stability")
 def _(spark, sf):
-    return select.rfe_stability(_xy(spark, sf).cache(), FEATS, 4, split.seeds(2), trees=5)
+    return select.rfe_stability(models.training_table(_xy(spark, sf)), FEATS, 4, split.seeds(2), trees=5, depth=5)
 
 
 @query("FS3_PD8_rfe_curve")
 def _(spark, sf):
-    return select.rfe_curve(_xy(spark, sf), len(FEATS), trees=10)
+    return select.rfe_curve(_xy(spark, sf), len(FEATS), trees=10, depth=5)
 
 
 def _psi(n: str) -> str:
@@ -230,7 +230,7 @@ def _(spark, sf):
 
 @query("FS5_rf_importance")
 def _(spark, sf):
-    return select.rf_importance(_xy(spark, sf).cache(), FEATS, split.seeds(2), trees=10)
+    return select.rf_importance(models.training_table(_xy(spark, sf)), FEATS, split.seeds(2), trees=10, depth=5)
 
 
 @query("FS6_lasso")
@@ -261,7 +261,7 @@ def _(spark, sf):
 
 @query("FS9_select_features")
 def _(spark, sf):
-    out = select.select_features(_complete(spark, sf), FEATS, n_executions=1, trees=5)
+    out = select.select_features(_complete(spark, sf), FEATS, n_executions=1, trees=5, depth=5)
     return out["features_to_use"]
 
 
@@ -276,8 +276,8 @@ _BUDGET = {
 
 
 def _model_metrics(spark, sf, name: str):
-    s = split.hash_split(_xy(spark, sf), 0.2, 42)
-    predict = models.fit(name, s.filter(~F.col("is_test")).drop("is_test").cache(), _BUDGET[name])
+    s = models.training_table(split.hash_split(_xy(spark, sf), 0.2, 42))
+    predict = models.fit(name, s.filter(~F.col("is_test")).drop("is_test"), _BUDGET[name])
     rows = predict(s.filter("is_test").drop("is_test"))
     return compute_all_metrics(rows.select(F.lit(name).alias("Model"), F.lit("hold-out").alias("Method"),
                                            F.lit(1).alias("Execution"), F.col("label").alias("y"),
@@ -329,7 +329,7 @@ def _(spark, sf):
 @query("WF_run_study")
 def _(spark, sf):
     tables = run_study(B.cohort(spark, sf), ["DecisionTree", "KNearestNeighbor"],
-                       selection={"n_executions": 1, "trees": 3},
+                       selection={"n_executions": 1, "trees": 3, "depth": 5},
                        training={"n_executions": 2, "params": _LIGHT, "leave_one_out_folds": 2})
     return tables["metrics_aggregated"]
 
