@@ -87,8 +87,9 @@ def cross_moments(df: DataFrame, features: Sequence[str], key: str | None = None
             .agg(*[F.sum(s).alias(s) for s in sums]))
 
 
-def corr_matrix(df: DataFrame, features: Sequence[str] | None = None, narrow: int = NARROW) -> DataFrame:
-    """Upper triangle (i, j, fi, fj, r), i < j, pairwise-complete Pearson."""
+def corr_matrix(df: DataFrame, features: Sequence[str] | None = None, narrow: int = NARROW,
+                centre: dict[str, float] | None = None) -> DataFrame:
+    """Upper triangle (i, j, fi, fj, r), i < j, pairwise-complete Pearson. Known means (`centre`) save a pass."""
     features = list(features or feature_columns(df))
     d = len(features)
     if d < 2:
@@ -104,7 +105,8 @@ def corr_matrix(df: DataFrame, features: Sequence[str] | None = None, narrow: in
                 rows.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(features[i]).alias("fi"),
                                      F.lit(features[j]).alias("fj"), F.col(f"r{i}_{j}").alias("r")))
         return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("s")).select("s.*")
-    centre = {r["Feature"]: r["mean"] for r in feature_moments(df, features).collect()}
+    if centre is None:
+        centre = {r["Feature"]: r["mean"] for r in feature_moments(df, features).collect()}
     m = cross_moments(df, features, centre=centre).filter("i < j")
     n = F.col("n")
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.nullif(n, F.lit(0.0))
@@ -119,9 +121,9 @@ def corr_matrix(df: DataFrame, features: Sequence[str] | None = None, narrow: in
 
 
 def correlated_features(df: DataFrame, threshold: float = CORRELATION_THRESHOLD,
-                        features: Sequence[str] | None = None) -> DataFrame:
+                        features: Sequence[str] | None = None, centre: dict[str, float] | None = None) -> DataFrame:
     """(Feature, max_abs_r): a feature goes when any earlier one, kept or not, correlates above the threshold."""
-    return (corr_matrix(df, features).groupBy("j", F.col("fj").alias("Feature"))
+    return (corr_matrix(df, features, centre=centre).groupBy("j", F.col("fj").alias("Feature"))
             .agg(F.max(F.abs("r")).alias("max_abs_r"))
             .filter(F.col("max_abs_r") > threshold).select("Feature", "max_abs_r"))
 
@@ -141,9 +143,13 @@ def remove_correlated(df: DataFrame, threshold: float = CORRELATION_THRESHOLD) -
 def clean(df: DataFrame, variance_threshold: float = VARIANCE_THRESHOLD,
           correlation_threshold: float = CORRELATION_THRESHOLD) -> tuple[DataFrame, dict[str, list[str]]]:
     """Both filters in turn. The actions read statistics only (at most one row per feature or pair)."""
-    step, low = remove_low_variance(df, variance_threshold)
-    step, corr = remove_correlated(step, correlation_threshold)
-    return step, {"low_variance": low, "correlated": corr}
+    moments = {r["Feature"]: r for r in feature_moments(df, feature_columns(df)).collect()}
+    low = [c for c, r in moments.items() if r["variance"] is not None and r["variance"] < variance_threshold]
+    step = df.drop(*low)
+    gone = {r["Feature"] for r in correlated_features(
+        step, correlation_threshold, centre={c: r["mean"] for c, r in moments.items()}).collect()}
+    corr = [c for c in step.columns if c in gone]
+    return step.drop(*corr), {"low_variance": low, "correlated": corr}
 
 
 def removal_log(spark, removed: dict[str, list[str]]) -> DataFrame:

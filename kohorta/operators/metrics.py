@@ -93,8 +93,8 @@ def roc_points(df: DataFrame, keys: Sequence[str] = (), score: str = "score", y:
                                              F.sum(1 - F.col(y)).cast("bigint").alias("neg"))
     run = running(counts, keys, ["_d"], {"tp": F.col("pos"), "fp": F.col("neg")}, sizing=scored,
                   rows_per_bucket=rows_per_bucket)
-    totals = scored.groupBy(*keys).agg(F.sum(F.col(y)).cast("double").alias("n1"),
-                                       F.sum(1 - F.col(y)).cast("double").alias("n0"))
+    totals = counts.groupBy(*keys).agg(F.sum("pos").cast("double").alias("n1"),
+                                       F.sum("neg").cast("double").alias("n0"))
     if keys:
         both = run.join(totals, keys)
     else:

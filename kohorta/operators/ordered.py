@@ -4,6 +4,9 @@ A plain window puts a whole group in one task. Here a group above `rows_per_buck
 (split points from `percentile_approx`, so they only steer balance, never the result); sums run inside each range and
 a small table of range totals supplies what came before. The split points are collected once, so every branch of the
 plan sees the same ranges. The number of split points is at most rows / rows_per_bucket plus one per hot group.
+
+Measuring the groups takes a pass over the input. It is skipped when all input files together are small; a group that
+is larger than that suggests then costs time, not correctness.
 """
 
 from __future__ import annotations
@@ -15,12 +18,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_BUCKET = 2_000_000
+SMALL_INPUT_BYTES = 64 * 1024 * 1024
+SMALL_INPUT_FILES = 256
 _GRID = 4096
 _FAN = 64
 
 
-def _split_points(sizing: DataFrame, keys: Sequence[str], by: str, limit: int) -> DataFrame | None:
-    """(keys..., _fine array, _coarse array) of the groups with more than `limit` rows; None when there is none."""
+def _small_input(df: DataFrame) -> bool:
+    """All files behind `df` together are small. Tables without files count as unknown."""
+    files = df.inputFiles()
+    if not files or len(files) > SMALL_INPUT_FILES:
+        return False
+    spark = df.sparkSession
+    total = 0
+    for f in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    return total <= SMALL_INPUT_BYTES
+
+
+def _split_points(sizing: DataFrame, keys: Sequence[str], by: str, rows_per_bucket: int | None) -> DataFrame | None:
+    """(keys..., _fine array, _coarse array) of the groups with more rows than fit a bucket; None when there is none."""
+    if rows_per_bucket is None and _small_input(sizing):
+        return None
+    limit = rows_per_bucket or ROWS_PER_BUCKET
     spark = sizing.sparkSession
     hot = sizing.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
     largest = hot.agg(F.max("_n")).first()[0]
@@ -66,10 +87,9 @@ def running(
     `order` must be a total order without NULLs; its first column also cuts hot groups. `sizing` is a cheaper table
     with the same keys and first order column (for example the rows before a shuffle) to measure group sizes on.
     """
-    limit = rows_per_bucket or ROWS_PER_BUCKET
     keys, order = list(keys), list(order)
     base = df.withColumns({f"_m_{k}": v for k, v in measures.items()})
-    splits = _split_points(df if sizing is None else sizing, keys, order[0], limit)
+    splits = _split_points(df if sizing is None else sizing, keys, order[0], rows_per_bucket)
     if splits is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         sums = {k: F.sum(f"_m_{k}").over(w) for k in measures}
@@ -117,7 +137,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     present = df.filter(F.col(value).isNotNull())
     counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     run = running(counts, keys, [value], {"_cum": F.col("_n")}, sizing=present, rows_per_bucket=rows_per_bucket)
-    totals = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))  # shares the shuffle of `counts`
     if keys:
         placed = run.join(totals, keys)
     else:
@@ -135,6 +155,18 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     return placed.groupBy(*keys).agg(*parts).select(*keys, *[c.alias(n) for n, c in finish.items()])
 
 
+def sorted_neighbours(df: DataFrame, keys: Sequence[str], order: str, halo: int,
+                      columns: Callable[[Window], dict[str, Column]], rows_per_bucket: int | None = None,
+                      chunk_rows: int | None = None) -> DataFrame:
+    """Adds the position `t` in sorted order and window columns over at most `halo` rows to either side."""
+    keys = list(keys)
+    if chunk_rows is None and _split_points(df, keys, order, rows_per_bucket) is None:
+        w = Window.partitionBy(*keys).orderBy(order)
+        return df.withColumns({"t": F.row_number().over(w).cast("bigint"), **columns(w)})
+    placed = row_index(df, keys, [order], "t", rows_per_bucket)
+    return over_series(placed, halo, columns, keys=keys, chunk_rows=chunk_rows)
+
+
 def over_series(
     frames: DataFrame,
     halo: int,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,45 +27,60 @@ def shuffled(df: DataFrame, seed: int, key: str = "Record") -> DataFrame:
     return df.orderBy(hash32(F.col(key), seed), key)
 
 
-def smallest_by_hash(df: DataFrame, take: int, seed: int, key: str = "Record") -> Column:
-    """Predicate that holds for exactly the `take` rows with the smallest (hash, key).
+_SMALL_BIN = 50_000
 
-    The cut is found by two histograms of 65,536 bins (high, then low half of the hash), so no row is sorted or
-    shuffled and the result is a plain filter.
+
+def smallest_by_hash(df: DataFrame, take: Callable[[int], int], seed: int, key: str = "Record",
+                     within: str | None = None) -> Column:
+    """Predicate that holds for exactly `take(n)` of the n rows (of each value of `within`): those with the smallest
+    (hash, key).
+
+    A histogram over the top 16 bits of the hash finds the bin of the cut; only that bin (1/65,536 of the rows) is
+    looked at again, through a second histogram if it is still large. No row is shuffled and the result is a filter.
     """
     h = hash32(F.col(key), seed)
-    if take <= 0:
-        return F.lit(False)
-
-    def locate(rows: DataFrame, bins: Column, left: int) -> tuple[int | None, int]:
-        counts = rows.groupBy(bins.alias("b")).count().collect()  # at most 65,536 rows
-        for r in sorted(counts, key=lambda r: r["b"]):
-            if left <= r["count"]:
-                return r["b"], left
-            left -= r["count"]
+    group = F.lit(None).cast("string") if within is None else F.col(within)
+    counts: dict = {}
+    # at most 65,536 rows per class
+    for r in df.groupBy(group.alias("g"), F.shiftright(h, 16).alias("b")).count().collect():
+        counts.setdefault(r["g"], {})[r["b"]] = r["count"]
+
+    def locate(bins: dict[int, int], left: int) -> tuple[int | None, int]:
+        for b in sorted(bins):
+            if left <= bins[b]:
+                return b, left
+            left -= bins[b]
         return None, left
 
-    high, left = locate(df, F.shiftright(h, 16), take)
-    if high is None:
-        return F.lit(True)
-    low, left = locate(df.filter(F.shiftright(h, 16) == high), h.bitwiseAND(F.lit(65535)), left)
-    cut = high * 65536 + low
-    ties = df.filter(h == cut).select(key).orderBy(key).limit(left).agg(F.max(key)).first()[0]
-    return (h < cut) | ((h == cut) & (F.col(key) <= F.lit(ties)))
+    def cut(g, bins: dict[int, int]) -> Column:
+        left = take(sum(bins.values()))
+        if left <= 0:
+            return F.lit(False)
+        high, left = locate(bins, left)
+        if high is None:
+            return F.lit(True)
+        rows = df.filter(F.shiftright(h, 16) == high)
+        rows = rows if within is None else rows.filter(group.eqNullSafe(F.lit(g)))
+        if bins[high] > _SMALL_BIN:
+            low = {r["b"]: r["count"] for r in rows.groupBy(h.bitwiseAND(F.lit(65535)).alias("b")).count().collect()}
+            b, left = locate(low, left)
+            rows = rows.filter(h == high * 65536 + b)
+        last = rows.select(h.alias("h"), key).orderBy("h", key).limit(left).agg(
+            F.max(F.struct("h", F.col(key).alias("k"))).alias("m")).first()["m"]
+        return (h < last["h"]) | ((h == last["h"]) & (F.col(key) <= F.lit(last["k"])))
+
+    if within is None:
+        return cut(None, counts[None]) if counts else F.lit(False)
+    out = F.lit(False)
+    for g, bins in counts.items():
+        out = out | (group.eqNullSafe(F.lit(g)) & cut(g, bins))
+    return out
 
 
 def train_test_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, key: str = "Record",
                      stratify: str | None = None) -> DataFrame:
     """Adds `is_test`; the test side has ceil(test_size x n) rows (per class when stratified)."""
-    if stratify is None:
-        n = df.count()
-        return df.withColumn("is_test", smallest_by_hash(df, math.ceil(test_size * n), seed, key))
-    flag = F.lit(False)
-    for r in df.groupBy(stratify).count().collect():  # one row per class
-        part = F.col(stratify) == F.lit(r[stratify])
-        take = math.ceil(test_size * r["count"])
-        flag = flag | (part & smallest_by_hash(df.filter(part), take, seed, key))
-    return df.withColumn("is_test", flag)
+    return df.withColumn("is_test", smallest_by_hash(df, lambda n: math.ceil(test_size * n), seed, key, stratify))
 
 
 def hash_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, key: str = "Record") -> DataFrame:

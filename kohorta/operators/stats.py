@@ -36,12 +36,14 @@ def mann_whitney(df: DataFrame, features: Sequence[str] | None = None, rows_per_
     n1, n2 = F.col("n1"), F.col("n2")
     total = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2
-    spread = F.sqrt(n1 * n2 / 12 * (total + 1 - F.col("ties") / (total * F.nullif(total - 1, F.lit(0.0)))))
-    # two-sided: continuity correction on the larger U
-    z = (F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / F.nullif(spread, F.lit(0.0))
-    tail = F.when(F.col("z") < 0, 1.0).otherwise(normal_two_sided(F.col("z")))
+    variance = n1 * n2 / 12 * (total + 1 - F.col("ties") / (total * F.nullif(total - 1, F.lit(0.0))))
+    spread = F.sqrt(F.greatest(F.lit(0.0), variance))
+    # two-sided: continuity correction on the larger U; no gap (as in a constant feature) means p = 1
+    gap = F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5
+    z = gap / F.nullif(spread, F.lit(0.0))
+    tail = F.when(F.col("gap") <= 0, 1.0).otherwise(normal_two_sided(F.col("z")))
     return sums.select("Feature", n1.cast("bigint").alias("n1"), n2.cast("bigint").alias("n2"), u.alias("U"),
-                       z.alias("z")).withColumn("P-Value", tail)
+                       z.alias("z"), gap.alias("gap")).withColumn("P-Value", tail).drop("gap")
 
 
 def bonferroni(tests: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -78,8 +80,8 @@ def ks_test(before: DataFrame, after: DataFrame, features: Sequence[str] | None
     counts = both.groupBy("Feature", "value").agg(F.sum("a").alias("na"), F.sum(1 - F.col("a")).alias("nb"))
     run = running(counts, ["Feature"], ["value"], {"ca": F.col("na"), "cb": F.col("nb")}, sizing=both,
                   rows_per_bucket=rows_per_bucket)
-    totals = both.groupBy("Feature").agg(F.sum("a").cast("double").alias("ta"),
-                                         F.sum(1 - F.col("a")).cast("double").alias("tb"))
+    totals = counts.groupBy("Feature").agg(F.sum("na").cast("double").alias("ta"),
+                                           F.sum("nb").cast("double").alias("tb"))  # shares the shuffle of `counts`
     gaps = run.join(totals, "Feature").filter((F.col("ta") > 0) & (F.col("tb") > 0)).groupBy("Feature").agg(
         F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("Statistic"),
         F.max("ta").alias("ta"), F.max("tb").alias("tb"))
