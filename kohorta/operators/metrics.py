@@ -91,15 +91,9 @@ def roc_points(df: DataFrame, keys: Sequence[str] = (), score: str = "score", y:
     scored = df.filter(F.col(score).isNotNull()).withColumn("_d", -F.col(score).cast("double"))
     counts = scored.groupBy(*keys, "_d").agg(F.sum(F.col(y)).cast("bigint").alias("pos"),
                                              F.sum(1 - F.col(y)).cast("bigint").alias("neg"))
-    run = running(counts, keys, ["_d"], {"tp": F.col("pos"), "fp": F.col("neg")}, sizing=scored,
-                  rows_per_bucket=rows_per_bucket)
-    totals = counts.groupBy(*keys).agg(F.sum("pos").cast("double").alias("n1"),
-                                       F.sum("neg").cast("double").alias("n0"))
-    if keys:
-        both = run.join(totals, keys)
-    else:
-        both = run.withColumns({c: F.lit(v) for c, v in totals.first().asDict().items()})
-    n1, n0 = F.nullif(F.col("n1"), F.lit(0.0)), F.nullif(F.col("n0"), F.lit(0.0))
+    both = running(counts, keys, ["_d"], {"tp": F.col("pos"), "fp": F.col("neg")}, sizing=scored,
+                   rows_per_bucket=rows_per_bucket, totals=True)
+    n1, n0 = (F.nullif(F.col(c).cast("double"), F.lit(0.0)) for c in ("tp_total", "fp_total"))
     return both.select(
         *keys, (-F.col("_d")).alias("score"),
         ((F.col("fp") - F.col("neg")) / n0).alias("fpr0"), ((F.col("tp") - F.col("pos")) / n1).alias("tpr0"),

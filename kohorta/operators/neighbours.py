@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formulas import hash32
+from ..session import materialise
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 8192
@@ -216,10 +217,11 @@ def _distinct_copies(train: DataFrame, k: int, excluding: bool, by_id: bool) ->
 def _cell_join(queries, train, n, k, order, exclude, by_id, carry, schema, block_rows, max_pivots) -> DataFrame:
     spark = queries.sparkSession
     excluding = exclude is not None
-    train = _distinct_copies(train, k, excluding, by_id)
+    # both sides are read several times below: written once, they are neither recomputed nor lost with an executor
+    train = materialise(_distinct_copies(train, k, excluding, by_id), "knn-train")
     # search every distinct query vector once; a skipped id is dropped afterwards from one extra neighbour
     group_key = ["q_ex"] if excluding and not by_id else []
-    reps = queries.select("q_v", *group_key).distinct()
+    reps = materialise(queries.select("q_v", *group_key).distinct(), "knn-queries")
     reach = k + 1 if excluding and by_id else k
     in_kernel = bool(group_key)
 

@@ -37,6 +37,14 @@ def _small_input(df: DataFrame) -> bool:
     return total <= SMALL_INPUT_BYTES
 
 
+def _sort_key(df: DataFrame, name: str) -> Column:
+    """A number that rises with the column: itself, or the first seven bytes of a text."""
+    if isinstance(df.schema[name].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.col(name)
+    head = F.rpad(F.substring(F.hex(F.col(name).cast("string")), 1, 14), 14, "0")
+    return F.conv(head, 16, 10).cast("bigint")
+
+
 def _split_points(sizing: DataFrame, keys: Sequence[str], by: str, rows_per_bucket: int | None) -> DataFrame | None:
     """(keys..., _fine array, _coarse array) of the groups with more rows than fit a bucket; None when there is none."""
     if rows_per_bucket is None and _small_input(sizing):
@@ -49,8 +57,7 @@ def _split_points(sizing: DataFrame, keys: Sequence[str], by: str, rows_per_buck
         return None
     grid = min(_GRID, -(-largest // limit))
     points = [i / grid for i in range(1, grid)]
-    dtype = sizing.schema[by].dataType
-    order = F.col(by) if isinstance(dtype, (T.NumericType, T.TimestampType, T.DateType)) else F.col(by).cast("double")
+    order = _sort_key(sizing, by)
     stats = (
         sizing.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(order, points, 4 * _GRID).alias("_p"))
@@ -66,11 +73,13 @@ def _split_points(sizing: DataFrame, keys: Sequence[str], by: str, rows_per_buck
     return fixed.withColumn("_coarse", coarse)
 
 
-def _bucket(by: Column) -> Column:
-    """How many split points lie below the value, in two steps of at most _FAN comparisons each."""
-    above = F.size(F.filter("_coarse", lambda s: s < by))
+def _bucket(key: Column) -> Column:
+    """How many split points lie below the key: its place among at most _FAN coarse, then _FAN fine points."""
+    def below(points: Column) -> Column:
+        return (F.array_position(F.sort_array(F.array_append(points, key)), key) - 1).cast("int")
+    above = below(F.col("_coarse"))
     start = (above - 1) * _FAN
-    inside = F.size(F.filter(F.slice(F.col("_fine"), F.greatest(start, F.lit(0)) + 1, _FAN), lambda s: s < by))
+    inside = below(F.slice(F.col("_fine"), F.greatest(start, F.lit(0)) + 1, _FAN))
     return F.when(F.col("_fine").isNull() | (above == 0), 0).otherwise(start + inside)
 
 
@@ -81,8 +90,10 @@ def running(
     measures: dict[str, Column],
     sizing: DataFrame | None = None,
     rows_per_bucket: int | None = None,
+    totals: bool = False,
 ) -> DataFrame:
-    """Add inclusive running sums of `measures`, ordered by `order` inside each group of `keys`.
+    """Add inclusive running sums of `measures`, ordered by `order` inside each group of `keys`; with `totals` also the
+    group's sum of each, as `<measure>_total`.
 
     `order` must be a total order without NULLs; its first column also cuts hot groups. `sizing` is a cheaper table
     with the same keys and first order column (for example the rows before a shuffle) to measure group sizes on.
@@ -93,26 +104,34 @@ def running(
     if splits is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         sums = {k: F.sum(f"_m_{k}").over(w) for k in measures}
+        if totals:  # same partitioning and sort, so no further shuffle
+            sums |= {f"{k}_total": F.sum(f"_m_{k}").over(Window.partitionBy(*keys)) for k in measures}
         return base.withColumns(sums).drop(*[f"_m_{k}" for k in measures])
     if keys:
         joined = base.join(F.broadcast(splits), keys, "left")  # size: see module docstring
     else:
         joined = base.withColumns({c: F.lit(v) for c, v in splits.first().asDict().items()})
-    cut = joined.withColumn("_b", _bucket(F.col(order[0]))).drop("_fine", "_coarse")
+    cut = joined.withColumn("_b", _bucket(_sort_key(df, order[0]))).drop("_fine", "_coarse")
     w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = cut.withColumns({k: F.sum(f"_m_{k}").over(w) for k in measures})
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
     offsets = (
         cut.groupBy(*keys, "_b")
         .agg(*[F.sum(f"_m_{k}").alias(f"_m_{k}") for k in measures])
-        .select(*keys, "_b", *[F.sum(f"_m_{k}").over(before).alias(f"_o_{k}") for k in measures])
-        .filter(F.col("_b") > 0)
+        .select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("_b").alias("_ob"),
+                *[F.sum(f"_m_{k}").over(before).alias(f"_o_{k}") for k in measures],
+                *[F.sum(f"_m_{k}").over(whole).alias(f"{k}_total") for k in measures if totals])
     )
-    # one row per split point at most, see module docstring
-    out = inner.join(F.broadcast(offsets), [*keys, "_b"], "left")
+    if not totals:
+        # the first range of a group has no offset; what is left is at most one row per split point
+        offsets = F.broadcast(offsets.filter(F.col("_ob") > 0))
+    same = F.col("_b") == F.col("_ob")
+    for i, c in enumerate(keys):
+        same = same & (F.col(c) == F.col(f"_k{i}"))
+    out = inner.join(offsets, same, "left")
     out = out.withColumns({k: F.col(k) + F.coalesce(F.col(f"_o_{k}"), F.lit(0)) for k in measures})
-    return out.drop("_b", *[f"_m_{k}" for k in measures], *[f"_o_{k}" for k in measures]).select(
-        *df.columns, *measures)
+    return out.select(*df.columns, *measures, *[f"{k}_total" for k in measures if totals])
 
 
 def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "t",
@@ -122,11 +141,12 @@ def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: st
 
 
 def mid_rank(df: DataFrame, keys: Sequence[str], value: str, measures: dict[str, Column] | None = None,
-             rows_per_bucket: int | None = None) -> DataFrame:
-    """One row per (keys, value): n rows, average rank over ties, running counts, plus summed `measures`."""
+             rows_per_bucket: int | None = None, totals: bool = False) -> DataFrame:
+    """One row per (keys, value): n rows, average rank over ties, running count `cum`, summed `measures`; with
+    `totals` also the group's row count `cum_total`."""
     counts = df.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(k) for k, v in (measures or {}).items()])
-    ranked = running(counts, keys, [value], {"cum": F.col("n")}, sizing=df, rows_per_bucket=rows_per_bucket)
+    ranked = running(counts, keys, [value], {"cum": F.col("n")}, sizing=df, rows_per_bucket=rows_per_bucket, totals=totals)
     return ranked.withColumn("mid_rank", F.col("cum") - (F.col("n") - 1) / F.lit(2.0))
 
 
@@ -136,19 +156,15 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     keys = list(keys)
     present = df.filter(F.col(value).isNotNull())
     counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    run = running(counts, keys, [value], {"_cum": F.col("_n")}, sizing=present, rows_per_bucket=rows_per_bucket)
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))  # shares the shuffle of `counts`
-    if keys:
-        placed = run.join(totals, keys)
-    else:
-        placed = run.withColumn("_total", F.lit(totals.first()[0]))
+    placed = running(counts, keys, [value], {"_cum": F.col("_n")}, sizing=present, rows_per_bucket=rows_per_bucket,
+                     totals=True)
 
     def at(index: Column) -> Column:
         return F.max(F.when((F.col("_cum") - F.col("_n") <= index) & (index < F.col("_cum")), F.col(value)))
 
     parts, finish = [], {}
     for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("_total") - 1)
+        pos = F.lit(float(p)) * (F.col("_cum_total") - 1)
         lo, hi = F.floor(pos), F.ceil(pos)
         parts += [at(lo).alias(f"_lo_{name}"), at(hi).alias(f"_hi_{name}"), F.max(pos - lo).alias(f"_f_{name}")]
         finish[name] = F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_f_{name}")

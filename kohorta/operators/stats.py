@@ -79,12 +79,11 @@ def ks_test(before: DataFrame, after: DataFrame, features: Sequence[str] | None
     both = side(before, 1).unionByName(side(after, 0)).filter(F.col("value").isNotNull())
     counts = both.groupBy("Feature", "value").agg(F.sum("a").alias("na"), F.sum(1 - F.col("a")).alias("nb"))
     run = running(counts, ["Feature"], ["value"], {"ca": F.col("na"), "cb": F.col("nb")}, sizing=both,
-                  rows_per_bucket=rows_per_bucket)
-    totals = counts.groupBy("Feature").agg(F.sum("na").cast("double").alias("ta"),
-                                           F.sum("nb").cast("double").alias("tb"))  # shares the shuffle of `counts`
-    gaps = run.join(totals, "Feature").filter((F.col("ta") > 0) & (F.col("tb") > 0)).groupBy("Feature").agg(
-        F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("Statistic"),
-        F.max("ta").alias("ta"), F.max("tb").alias("tb"))
+                  rows_per_bucket=rows_per_bucket, totals=True)
+    ta, tb = F.col("ca_total").cast("double"), F.col("cb_total").cast("double")
+    gaps = run.filter((ta > 0) & (tb > 0)).groupBy("Feature").agg(
+        F.max(F.abs(F.col("ca") / ta - F.col("cb") / tb)).alias("Statistic"), F.max(ta).alias("ta"),
+        F.max(tb).alias("tb"))
     p = kolmogorov_tail(F.col("Statistic"), F.col("ta"), F.col("tb"))
     return gaps.withColumn("P-Value", p).select(
         "Feature", "Statistic", "P-Value", (F.col("P-Value") < alpha).alias("Significant"))

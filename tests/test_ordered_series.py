@@ -126,3 +126,10 @@ def test_reindex(frames):
     again = fn.reindex(kept, rows_per_bucket=20).toPandas()
     for rec, part in again.groupby("Record"):
         assert sorted(part["t"]) == list(range(1, len(part) + 1))
+
+
+def test_text_order(spark):
+    """Texts are cut by their first bytes; long shared beginnings end up in one range, still in order."""
+    df = spark.range(500).select(F.concat(F.lit("o:"), F.format_string("%04d", F.col("id") * 7 % 500)).alias("rid"))
+    got = row_index(df, [], ["rid"], "t", rows_per_bucket=60).orderBy("t").toPandas()
+    assert list(got["rid"]) == sorted(got["rid"]) and list(got["t"]) == list(range(1, 501))
