@@ -157,24 +157,28 @@ def knn_join(
     carry_types = "".join(f", `{c}` {train.schema[c].dataType.simpleString()}" for c in carry)
     pairs_schema = f"q_id {id_type}, t_id {t_type}, distance double{carry_types}"
     if n * (8 * d + 64) <= broadcast_bytes:
-        found = _broadcast_join(keep_query, keep_train, k, order, bool(exclude), carry, pairs_schema)
+        ranked = _broadcast_join(keep_query, keep_train, k, order, bool(exclude), carry, pairs_schema)
     else:
         found = _cell_join(keep_query, keep_train, n, k, order, exclude, exclude == id, carry, pairs_schema,
                            block_rows, max_pivots)
-    w = Window.partitionBy("q_id").orderBy("distance", "t_id")
-    return (found.withColumn("neighbour_rank", F.row_number().over(w)).filter(F.col("neighbour_rank") <= k)
+        w = Window.partitionBy("q_id").orderBy("distance", "t_id")
+        ranked = found.withColumn("neighbour_rank", F.row_number().over(w)).filter(F.col("neighbour_rank") <= k)
+    return (ranked
             .select(F.col("q_id").alias(id), "neighbour_rank", F.col("t_id").alias("neighbour"), "distance", *carry))
 
 
 def _emit(q_id, t_id, carried, r, c, dist) -> pa.RecordBatch:
-    names = ["q_id", "t_id", "distance", *carried]
+    names = ["q_id", "t_id", "distance", *carried, "neighbour_rank"]
     cols = [q_id.take(pa.array(r)), t_id.take(pa.array(c)), pa.array(dist)]
     cols += [v.take(pa.array(c)) for v in carried.values()]
+    rank = np.arange(len(r)) - np.searchsorted(r, r, side="left") + 1  # rows come sorted by query
+    cols.append(pa.array(rank.astype("int32")))
     return pa.RecordBatch.from_arrays(cols, names=names)
 
 
 def _broadcast_join(queries, train, k, order, excluding, carry, schema) -> DataFrame:
-    """The training side has passed the size check, so it goes to every task as one broadcast value."""
+    """The training side has passed the size check, so it goes to every task as one broadcast value. A query meets all of
+    it in one place, so the result is final and needs no shuffle."""
     local = train.orderBy("t_id").toArrow()
     shared = queries.sparkSession.sparkContext.broadcast(local)
 
@@ -196,7 +200,7 @@ def _broadcast_join(queries, train, k, order, excluding, carry, schema) -> DataF
     # each query costs one pass over the training side, so spread the queries over all slots
     if local.num_rows >= SPREAD_ROWS:
         queries = queries.repartition(queries.sparkSession.sparkContext.defaultParallelism)
-    return queries.mapInArrow(search, schema)
+    return queries.mapInArrow(search, schema + ", neighbour_rank int")
 
 
 def _distinct_copies(train: DataFrame, k: int, excluding: bool, by_id: bool) -> DataFrame:

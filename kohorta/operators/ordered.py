@@ -37,6 +37,12 @@ def _small_input(df: DataFrame) -> bool:
     return total <= SMALL_INPUT_BYTES
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """A small table often arrives in one partition; before work that is heavy per row, use every slot. Large tables
+    have partitions enough and are left alone."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if _small_input(df) else df
+
+
 def _sort_key(df: DataFrame, name: str) -> Column:
     """A number that rises with the column: itself, or the first seven bytes of a text."""
     if isinstance(df.schema[name].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):

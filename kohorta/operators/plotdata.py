@@ -17,7 +17,7 @@ from ..functions.formulas import hash32
 from .clean import corr_matrix, feature_moments
 from .metrics import class_counts
 from .neighbours import _matrix
-from .ordered import quantiles
+from .ordered import quantiles, spread_small
 
 GRID = 200
 KERNELS = ("rbf", "sigmoid", "poly")
@@ -72,7 +72,7 @@ def feature_density(before: DataFrame, after: DataFrame, max_features: int = 30,
 
         if not shape:
             continue
-        summed = clean.mapInArrow(sums, "f int, g int, s double").groupBy("f", "g").agg(F.sum("s").alias("s"))
+        summed = spread_small(clean).mapInArrow(sums, "f int, g int, s double").groupBy("f", "g").agg(F.sum("s").alias("s"))
         meta = df.sparkSession.createDataFrame(
             [(r, c, 1.0 / (n * h * math.sqrt(2 * math.pi)), float(xs[0]), float(xs[-1]))
              for r, (_, c, h, n, xs) in enumerate(shape)],

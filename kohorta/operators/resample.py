@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import PATHOLOGICAL, feature_columns
 from ..functions.formulas import uniform
+from ..session import materialise
 from .metrics import class_balance, class_counts
 from .neighbours import knn_join, vector
 from .ordered import row_index
@@ -78,7 +79,7 @@ def smote(df: DataFrame, k: int = 7, seed: int = 42, features: Sequence[str] | N
             raise ValueError(f"k = {k} needs more than {k} minority rows, found {n_min}")
         start, n_start = None, n_min
         if borderline:
-            start = danger_rows(df, minority, features, id, **knn)
+            start = materialise(danger_rows(df, minority, features, id, **knn), "danger")
             n_start = start.count()
         if n_start:
             made = _synthetic(df, features, minority, n_maj - n_min, n_min, k, seed, id, start, n_start, knn)
@@ -116,6 +117,8 @@ def resample(df: DataFrame, method: str = "smote", k: int = 7, seed: int = 42, e
         raise ValueError(f"unknown resampling method {method}; one of {METHODS}")
     features = list(features or feature_columns(df))
     out = smote(df, k, seed, features, id, borderline=method == "borderline_smote", keep_row_id=True, **knn)
+    if method in ("smote_tomek", "smote_enn"):
+        out = materialise(out, "resampled")  # searched and then filtered: drawn once
     if method == "smote_tomek":
         out = out.join(tomek_links(out, features, **knn), "row_id", "left_anti")
     elif method == "smote_enn":
