@@ -267,16 +267,26 @@ def _(spark, sf):
         "Feature", "Statistic")
 
 
-@query("ST1_mann_whitney", LONG + _RANKED + f""", s AS (SELECT "Feature", CAST(COUNT(*) FILTER ("Diagnosed" = 'Control') AS DOUBLE) AS n1,
+_RANK_SUM = LONG + _RANKED + f""", s AS (SELECT "Feature", CAST(COUNT(*) FILTER ("Diagnosed" = 'Control') AS DOUBLE) AS n1,
     CAST(COUNT(*) FILTER ("Diagnosed" <> 'Control') AS DOUBLE) AS n2, SUM(mid_rank) FILTER ("Diagnosed" = 'Control') AS r1 FROM ranked GROUP BY "Feature"),
     k AS (SELECT "Feature", SUM(CAST(c AS DOUBLE) * c * c - c) AS ties FROM (SELECT "Feature", value, COUNT(*) AS c FROM long GROUP BY "Feature", value) GROUP BY "Feature"),
     z AS (SELECT s."Feature", n1, n2, r1 - n1 * (n1 + 1) / 2 AS u, SQRT(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS sd FROM s JOIN k ON s."Feature" = k."Feature"),
-    t AS (SELECT *, (GREATEST(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5::DOUBLE) / sd AS z FROM z)
+    t AS (SELECT *, (GREATEST(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5::DOUBLE) / sd AS z FROM z)"""
+
+
+@query("ST1_mann_whitney", _RANK_SUM + f"""
     SELECT "Feature", CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, u AS "U", z, {normal_sql('z')} AS "P-Value" FROM t""", "U, z, P-Value")
 def _(spark, sf):
     return stats.mann_whitney(B.cohort(spark, sf), FEATS)
 
 
+@query("SO1_ST2_statistical_selection", _RANK_SUM + f""", s2 AS (SELECT "Feature", {normal_sql('z')} AS "P-Value" FROM t)
+    SELECT *, LEAST(1.0::DOUBLE, "P-Value" * COUNT(*) OVER ()) AS "Adjusted P-Value", "P-Value" <= 0.05::DOUBLE / COUNT(*) OVER () AS "Reject Null Hypothesis" FROM s2""",
+    "P-Value, Adjusted P-Value")
+def _(spark, sf):
+    return stats.statistical_selection(B.cohort(spark, sf), FEATS)
+
+
 @query("ST2_bonferroni", """WITH p AS (SELECT CAST(user_id AS VARCHAR) AS "Feature", MIN(value) / 500.0::DOUBLE AS "P-Value" FROM events GROUP BY user_id)
     SELECT *, LEAST(1.0::DOUBLE, "P-Value" * COUNT(*) OVER ()) AS "Adjusted P-Value", "P-Value" <= 0.05::DOUBLE / COUNT(*) OVER () AS "Reject Null Hypothesis" FROM p""",
     "P-Value, Adjusted P-Value")
