@@ -65,7 +65,7 @@ def _(spark, sf):
 @query("AG5_removal_report", LONG + f""", v AS ({_VARIANCES}), m AS ({corr_sql(_KEPT)}),
     gone AS (SELECT 'low_variance' AS reason, "Feature", list_position({FEATS!r}, "Feature") AS p FROM v WHERE variance < 0.1::DOUBLE
     UNION ALL SELECT 'correlated', fj, list_position({FEATS!r}, fj) FROM (SELECT DISTINCT fj FROM m WHERE ABS(r) > 0.9::DOUBLE))
-    SELECT reason, COUNT(*) AS n, STRING_AGG("Feature", ',' ORDER BY p) AS shown, 0 AS more FROM gone GROUP BY reason""")
+    SELECT reason, COUNT(*) AS n, STRING_AGG("Feature", ',' ORDER BY p) AS shown, GREATEST(0, COUNT(*) - 10) AS more FROM gone GROUP BY reason""")
 def _(spark, sf):
     _, removed = clean.clean(B.cohort(spark, sf))
     return clean.removal_report(clean.removal_log(spark, removed))

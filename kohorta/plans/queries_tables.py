@@ -542,18 +542,25 @@ def _(spark, sf):
 _NAMES = ["Record", "Diagnosed", *B.COHORT_FEATURES]
 
 
-@query("AG9_validate_dataset", with_sql("cohort") + """, c AS (SELECT * REPLACE (""" + _INF + """ AS disc_mean) FROM cohort)
+_VALIDATION = (with_sql("cohort") + """, c AS (SELECT * REPLACE (""" + _INF + """ AS disc_mean) FROM cohort)
     SELECT 'required_columns' AS "check", 'success' AS severity, 'all' AS detail, 0 AS n """ + "".join(
     f"""UNION ALL SELECT 'missing_values', CASE WHEN COUNT(*) > COUNT("{c}") THEN 'warning' ELSE 'success' END, '{c}', COUNT(*) - COUNT("{c}") FROM c """
     for c in _NAMES) + "".join(
     f"""UNION ALL SELECT 'infinite_values', CASE WHEN COUNT(*) FILTER (isinf("{c}")) > 0 THEN 'warning' ELSE 'success' END, '{c}', COUNT(*) FILTER (isinf("{c}")) FROM c """
-    for c in B.COHORT_FEATURES) + """UNION ALL SELECT 'labels', 'success', '', COUNT(*) FILTER ("Diagnosed" NOT IN ('Control', 'Pathological')) FROM c
-    UNION ALL SELECT 'duplicates', 'success', 'Record', COUNT(*) - COUNT(DISTINCT "Record") FROM c""")
+    for c in B.COHORT_FEATURES) + """UNION ALL SELECT 'labels', CASE WHEN COUNT(*) FILTER ("Diagnosed" NOT IN ('Control', 'Pathological')) > 0 THEN 'error' ELSE 'success' END,
+    COALESCE(STRING_AGG(DISTINCT "Diagnosed", ',') FILTER ("Diagnosed" NOT IN ('Control', 'Pathological')), ''),
+    COUNT(*) FILTER ("Diagnosed" NOT IN ('Control', 'Pathological')) FROM c
+    UNION ALL SELECT 'duplicates', CASE WHEN COUNT(*) > COUNT(DISTINCT "Record") THEN 'warning' ELSE 'success' END, 'Record', COUNT(*) - COUNT(DISTINCT "Record") FROM c""")
+
+
+@query("AG9_validate_dataset", _VALIDATION)
 def _(spark, sf):
     return quality.validate_dataset(_with_inf(spark, sf))
 
 
-@query("AG10_validation_result", with_sql("cohort") + """ SELECT TRUE AS is_valid, TRUE AS has_warnings, 0 AS errors, 2 AS warnings, 23 AS successes""")
+@query("AG10_validation_result", f"""SELECT COUNT(*) FILTER (severity = 'error') = 0 AS is_valid, COUNT(*) FILTER (severity = 'warning') > 0 AS has_warnings,
+    COUNT(*) FILTER (severity = 'error') AS errors, COUNT(*) FILTER (severity = 'warning') AS warnings,
+    COUNT(*) FILTER (severity = 'success') AS successes FROM ({_VALIDATION}) AS checks""")
 def _(spark, sf):
     return quality.validation_summary(quality.validate_dataset(_with_inf(spark, sf)))
 
@@ -564,7 +571,8 @@ def _(spark, sf):
 
 
 @query("AG26_pca_conditions", with_sql("cohort") + """ SELECT COUNT(*) FILTER (price_std IS NULL) AS rows_missing,
-    COUNT(*) FILTER (n_lines = qty_sum AND qty_sum = price_std) AS rows_flat, TRUE AS two_distinct,
+    COUNT(*) FILTER (n_lines = qty_sum AND qty_sum = price_std) AS rows_flat,
+    (SELECT COUNT(*) FROM (SELECT DISTINCT n_lines, qty_sum, price_std FROM cohort)) >= 2 AS two_distinct,
     COUNT(*) FILTER (price_std IS NULL) = 0 AND COUNT(*) FILTER (n_lines = qty_sum AND qty_sum = price_std) = 0 AS ok FROM cohort""")
 def _(spark, sf):
     return quality.pca_conditions(B.cohort(spark, sf), ["n_lines", "qty_sum", "price_std"])
