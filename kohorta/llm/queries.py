@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, simhash
+from . import bpe, packing, simhash, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,26 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+           FROM pages),
+     k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS latest
+           FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN latest = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN latest <> page_id THEN latest END AS refers_to
+FROM k"""
+
+
+@_query("op1_warc", _WARC_SQL)
+def op1(spark, sf):
+    return warc.read(warc.write(_table(spark, sf, "pages")), payload=False)
+
+
+@_query("op2_suffix_dedup")
+def op2(spark, sf):
+    return suffix.dedup(_table(spark, sf, "documents"))
+
+
 @_query("op5_byte_bpe")
 def op5(spark, sf):
     return bpe.encode_documents(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
