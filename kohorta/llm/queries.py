@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, simhash, suffix, warc
+from pyspark.sql import functions as F
+
+from . import bpe, langid, packing, quality, simhash, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +54,22 @@ def op5(spark, sf):
     return bpe.encode_documents(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+@_query("op6_quality")
+def op6(spark, sf):
+    docs = _table(spark, sf, "documents")
+    model = quality.fit(docs, _table(spark, sf, "labels"), learn=quality.by_id("_id", 5) != 0)
+    held = F.coalesce(quality.by_id("doc_id", 5) == 0, F.lit(False))
+    return quality.score(docs.select("doc_id", held.alias("held_out"), "text"), model)
+
+
+@_query("op7_language")
+def op7(spark, sf):
+    docs = _table(spark, sf, "documents")
+    held = F.coalesce(quality.by_id("doc_id", 4) == 2, F.lit(False))
+    model = langid.fit(docs.where(~held))
+    return langid.identify(docs.select("doc_id", held.alias("held_out"), "text"), model)
+
+
 @_query("op8_packing")
 def op8(spark, sf):
     return packing.pack(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
