@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality, simhash, suffix, warc
+from . import bpe, langid, lines, packing, quality, simhash, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,10 @@ def op8(spark, sf):
 @_query("op9_simhash")
 def op9(spark, sf):
     return simhash.near_duplicates(_table(spark, sf, "documents"))
+
+
+@_query("op10_lines")
+def op10(spark, sf):
+    return lines.dedup(_table(spark, sf, "documents").select("doc_id", "text")).select(
+        "doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
