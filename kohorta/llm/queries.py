@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, packing, quality, simhash, suffix, warc
+from . import bpe, descent, langid, lines, multi_index, packing, quality, simhash, suffix, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +49,16 @@ def op2(spark, sf):
     return suffix.dedup(_table(spark, sf, "documents"))
 
 
+@_query("op3_multi_index")
+def op3(spark, sf):
+    return multi_index.search(_table(spark, sf, "embeddings"), F.col("id") % 20 == 0)
+
+
+@_query("op4_nn_descent")
+def op4(spark, sf):
+    return descent.near_duplicates(_table(spark, sf, "embeddings"))
+
+
 @_query("op5_byte_bpe")
 def op5(spark, sf):
     return bpe.encode_documents(_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
