@@ -178,6 +178,18 @@ def score(docs: DataFrame, model: Classifier, *, text_col: str = "text", thresho
     return table.mapInArrow(run, ", ".join([*fields, "score double, predicted int"]))
 
 
+def accepted(docs: DataFrame, model: Classifier, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of `docs` with a score of at least `threshold`, all columns as they are."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            stats = np.array([statistics(t) for t in batch.column(at).to_pylist()], float).reshape(-1, N_STATS)
+            yield batch.filter(pa.array(model.score(stats) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def by_id(column: str, modulus: int):
     """crc32 of the id as text, modulo `modulus`."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

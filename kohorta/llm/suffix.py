@@ -169,13 +169,16 @@ def repeats(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
 
 
 def dedup(docs: DataFrame, *, min_bytes: int = 100, id_col: str = "doc_id", text_col: str = "text",
-          keep_text: bool = False) -> DataFrame:
+          keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, with
-    `keep_text`, the kept bytes as text (a character that a cut splits is left out)."""
+    `keep_text`, kept_text, the kept bytes as text (a character that a cut splits is left out). The columns in `carry`
+    follow as _0, _1 and so on."""
     base = keyed(docs, id_col, text_col).select(F.col("_row").alias("row"), F.col(id_col).alias("doc_id"),
-                                                F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+                                                F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"),
+                                                *[F.col(c).alias(f"_{i}") for i, c in enumerate(carry)])
+    extra = [f"_{i}" for i in range(len(carry))]
     spans = _packed(repeats(base, min_bytes))
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * keep_text
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * keep_text + extra
 
     def cut(batches):
         for batch in batches:
@@ -206,10 +209,12 @@ def dedup(docs: DataFrame, *, min_bytes: int = 100, id_col: str = "doc_id", text
                         text.append(left.decode("utf-8", "ignore"))
             out = [batch.column(0), pa.array([len(t) for t in raw], pa.int64()),
                    *(pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (removed, pieces)),
-                   pa.array(digest, pa.string())] + [pa.array(text, pa.string())] * keep_text
+                   pa.array(digest, pa.string())] + [pa.array(text, pa.string())] * keep_text \
+                + batch.columns[3:]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return base.join(spans, "row", "left").select("doc_id", "t", "spans").mapInArrow(
+    kinds = "".join(f", _{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    return base.join(spans, "row", "left").select("doc_id", "t", "spans", *extra).mapInArrow(
         cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-             + (", text string" if keep_text else ""))
+             + ", kept_text string" * keep_text + kinds)
