@@ -220,8 +220,9 @@ def label(texts: list[str], scores: Scores) -> tuple[np.ndarray, np.ndarray, np.
 
 def identify(docs: DataFrame, model: Languages, *, text_col: str = "text", spans: bool = False) -> DataFrame:
     """`docs` without the text, with lang_pred, score (share of the letters) and, if asked for, spans: array of
-    (start, end, lang), character offsets in the text, neighbouring words of a language joined."""
-    kept = [c for c in docs.columns if c != text_col]
+    (start, end, lang), character offsets in the text, neighbouring words of a language joined. Columns of these names
+    are replaced."""
+    kept = [c for c in docs.columns if c not in (text_col, "lang_pred", "score", "spans")]
     names = [*model.names, "und"]
 
     def run(batches):
@@ -251,7 +252,7 @@ def identify(docs: DataFrame, model: Languages, *, text_col: str = "text", spans
                                                                 ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays(cols, names=[*kept, "lang_pred", "score"] + ["spans"] * spans)
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept]
     fields += ["lang_pred string", "score double"] + ["spans array<struct<start:long,end:long,lang:string>>"] * spans
     return docs.select(*kept, text_col).mapInArrow(run, ", ".join(fields))
 

@@ -87,8 +87,8 @@ def isotonic(at: np.ndarray, mean: np.ndarray, weight: np.ndarray) -> tuple[np.n
 
 
 def _stats_of(docs: DataFrame, text_col: str) -> DataFrame:
-    """The columns of `docs` without the text, and `stats`."""
-    kept = [c for c in docs.columns if c != text_col]
+    """The columns of `docs` without the text and those that `score` adds, and `stats`."""
+    kept = [c for c in docs.columns if c not in (text_col, "stats", "score", "predicted")]
 
     def run(batches):
         for batch in batches:
@@ -96,7 +96,7 @@ def _stats_of(docs: DataFrame, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [pa.array(stats, pa.list_(pa.float64()))],
                                              names=[*kept, "stats"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept]
     return docs.select(*kept, text_col).mapInArrow(run, ", ".join([*fields, "stats array<double>"]))
 
 
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Classifier, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """`docs` without the text, with score and predicted (1 if score >= threshold, else 0)."""
+    """`docs` without the text, with score and predicted (1 if score >= threshold, else 0) in place of such columns."""
     table = _stats_of(docs, text_col)
     kept = [c for c in table.columns if c != "stats"]
 
