@@ -151,7 +151,7 @@ def _needed(rows: DataFrame, queries: DataFrame, index: Index, k: int, recall: f
             order = index.walk(q[i], total)
             walks[i] = dict(zip(order.tolist(), np.cumsum(flat[order]).tolist()))
         cost.append(walks[i][cell])
-    return int(np.quantile(cost, recall)) if cost else total
+    return max(8 * (k + 1), int(np.quantile(cost, recall, method="higher"))) if cost else total
 
 
 def search(df: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
