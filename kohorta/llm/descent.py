@@ -36,6 +36,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _stack(column: pa.Array, kind) -> np.ndarray:
     """Unit vectors from a column of raw bytes."""
     raw = column.to_pylist()
+    if not raw:
+        return np.zeros((0, 1))
     return _unit(np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64))
 
 
