@@ -67,6 +67,13 @@ def uniform(key: Column, seed) -> Column:
     return hash32(key, seed) / F.lit(4294967296.0)
 
 
+def uniform52(key: Column, seed) -> Column:
+    """Uniform in [0, 1) with 52 bits, so that it can index any number of rows."""
+    seed = seed if isinstance(seed, Column) else F.lit(str(seed))
+    text = F.concat(key.cast("string"), F.lit(":"), seed.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta integral (modified Lentz)."""
     tiny = 1e-300

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import reorder_columns
+from ..session import materialise
 
 
 def merge_on_record(left: DataFrame, right: DataFrame, how: str = "inner",
@@ -54,3 +55,17 @@ def distinct_patients(df: DataFrame, label: str = "Pathological") -> DataFrame:
     if "Is_SMOTE" in df.columns:
         real = real.filter(~F.col("Is_SMOTE"))
     return real.select("Record").distinct()
+
+
+def with_row_id(df: DataFrame, id: str = "Record", name: str = "_rid") -> DataFrame:
+    """Adds a unique string `name`: `id` itself where it is unique and never NULL, else `id#position`.
+
+    Positions follow (id, hash of all columns) and are stored, so they stay the same however often the rows are read.
+    """
+    repeated = df.groupBy(id).count().where((F.col("count") > 1) | F.col(id).isNull()).limit(1).count()
+    if not repeated:
+        return df.withColumn(name, F.col(id).cast("string"))
+    order = [F.col(id).asc_nulls_first(), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+    numbered = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                           .withColumn(name, F.monotonically_increasing_id()), "numbered")
+    return numbered.withColumn(name, F.concat(F.coalesce(F.col(id).cast("string"), F.lit("")), F.lit("#"), F.col(name)))

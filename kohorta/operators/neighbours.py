@@ -32,6 +32,12 @@ def vector(features: Sequence[str]) -> Column:
     return F.array(*[F.col(f"`{c}`").cast("double") for c in features])
 
 
+def _unusable(vec: str) -> Column:
+    """Number of rows whose vector is missing or holds a missing or infinite value."""
+    fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.count_if(~F.coalesce(fine, F.lit(False))).alias("bad")
+
+
 def _order_of(metric: str, p: float) -> float:
     if metric == "minkowski":
         return float(p)
@@ -141,12 +147,16 @@ def knn_join(
 ) -> DataFrame:
     """(id, neighbour_rank, neighbour, distance, carry...) with the k nearest training rows of every query row.
 
-    `vec` is an array<double> column without NULLs; `id` is unique per row. A training row is not a neighbour of a
+    `vec` is an array<double> column and `id` is unique per row; a missing or infinite value on either side raises a
+    ValueError, whichever way the join takes. A training row is not a neighbour of a
     query with the same value of `exclude` (the id for self-joins, a group column to leave a group out). `carry`
     names training columns to bring along.
     """
     order = _order_of(metric, p)
-    d_row = train.select(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+    d_row = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d"), _unusable(vec)).first()
+    asked = queries.agg(_unusable(vec)).first()[0]
+    if d_row["bad"] or asked:
+        raise ValueError(f"{d_row['bad'] + asked} rows have a missing or infinite value: drop or fill them first")
     n, d = d_row["n"], d_row["d"] or 0
     keep_train = train.select(F.col(id).alias("t_id"), F.col(vec).alias("t_v"),
                               *([F.col(exclude).alias("t_ex")] if exclude else []), *carry)

@@ -1,12 +1,11 @@
 """Running sums, ranks and exact quantiles over ordered groups of any size.
 
 A plain window puts a whole group in one task. Here a group above `rows_per_bucket` rows is cut into value ranges
-(split points from `percentile_approx`, so they only steer balance, never the result); sums run inside each range and
-a small table of range totals supplies what came before. The split points are collected once, so every branch of the
-plan sees the same ranges. The number of split points is at most rows / rows_per_bucket plus one per hot group.
+(approximate split points, so they only steer balance, never the result); sums run inside each range and a small table
+of range totals supplies what came before. The split points are collected once, so every branch of the plan sees the
+same ranges. The number of split points is at most rows / rows_per_bucket plus one per hot group.
 
-Measuring the groups takes a pass over the input. It is skipped when all input files together are small; a group that
-is larger than that suggests then costs time, not correctness.
+Groups are measured by counting their rows; keys may be NULL, which is a group like any other.
 """
 
 from __future__ import annotations
@@ -18,61 +17,59 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_BUCKET = 2_000_000
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-SMALL_INPUT_FILES = 256
-_GRID = 4096
 _FAN = 64
+_SAMPLES = 64
 
 
-def _small_input(df: DataFrame) -> bool:
-    """All files behind `df` together are small. Tables without files count as unknown."""
-    files = df.inputFiles()
-    if not files or len(files) > SMALL_INPUT_FILES:
-        return False
-    spark = df.sparkSession
-    total = 0
-    for f in files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
-    return total <= SMALL_INPUT_BYTES
+def spread_small(df: DataFrame) -> DataFrame:
+    """A small table often arrives in few partitions; before work that is heavy per row, use every slot. Tables with
+    partitions enough are left alone."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """A small table often arrives in one partition; before work that is heavy per row, use every slot. Large tables
-    have partitions enough and are left alone."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if _small_input(df) else df
+def _numeric(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType))
 
 
-def _sort_key(df: DataFrame, name: str) -> Column:
-    """A number that rises with the column: itself, or the first seven bytes of a text."""
-    if isinstance(df.schema[name].dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.col(name)
-    head = F.rpad(F.substring(F.hex(F.col(name).cast("string")), 1, 14), 14, "0")
-    return F.conv(head, 16, 10).cast("bigint")
+def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+    """`right` with renamed keys, and the null-safe condition that joins it to `left`."""
+    renamed = right.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(keys)})
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"_k{i}"))
+    return renamed, same
 
 
 def _split_points(sizing: DataFrame, keys: Sequence[str], by: str, rows_per_bucket: int | None) -> DataFrame | None:
-    """(keys..., _fine array, _coarse array) of the groups with more rows than fit a bucket; None when there is none."""
-    if rows_per_bucket is None and _small_input(sizing):
-        return None
+    """(keys..., _fine array, _coarse array) of the groups with more rows than fit a bucket; None when there is none.
+
+    Split points of numbers are approximate percentiles, those of texts evenly chosen values of a sample by hash (about
+    `_SAMPLES` values for each bucket).
+    """
     limit = rows_per_bucket or ROWS_PER_BUCKET
     spark = sizing.sparkSession
-    hot = sizing.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    largest = hot.agg(F.max("_n")).first()[0]
-    if largest is None:
+    counts = sizing.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    largest = counts.agg(F.max("_n")).first()[0]
+    if largest is None or largest <= limit:
         return None
-    grid = min(_GRID, -(-largest // limit))
-    points = [i / grid for i in range(1, grid)]
-    order = _sort_key(sizing, by)
-    stats = (
-        sizing.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(order, points, 4 * _GRID).alias("_p"))
-        .filter(F.col("_n") > limit)
-        # keep only as many points as this group needs
-        .withColumn("_step", F.greatest(F.lit(1), F.floor(F.lit(grid) * F.lit(float(limit)) / F.col("_n")).cast("int")))
-        .withColumn("_fine", F.array_distinct(F.filter("_p", lambda x, i: i % F.col("_step") == 0)))
-        .select(*keys, "_fine")
-    )
+    grid = -(-largest // limit)
+    if _numeric(sizing, by):
+        points = [i / grid for i in range(1, grid)]
+        stats = sizing.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
+                                          F.percentile_approx(by, points, max(10_000, 4 * grid)).alias("_p"))
+    else:
+        every = max(1, limit // _SAMPLES)
+        drawn = F.when(F.pmod(F.xxhash64(by), F.lit(every)) == 0, F.col(by))
+        stats = sizing.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_set(drawn)).alias("_s"))
+        stats = stats.withColumn("_p", F.when(F.size("_s") < grid, F.col("_s")).otherwise(F.transform(
+            F.sequence(F.lit(1), F.lit(max(1, grid - 1))),
+            lambda i: F.element_at("_s", (i * F.size("_s") / grid).cast("int"))))).drop("_s")
+    # keep only as many points as a group needs
+    stats = (stats.filter(F.col("_n") > limit)
+             .withColumn("_step", F.greatest(F.lit(1), F.floor(F.lit(grid) * F.lit(float(limit)) / F.col("_n")).cast("int")))
+             .withColumn("_fine", F.array_distinct(F.filter("_p", lambda x, i: i % F.col("_step") == 0)))
+             .select(*keys, "_fine"))
     rows = stats.collect()  # bounded: see module docstring
     fixed = spark.createDataFrame(rows, stats.schema)
     coarse = F.filter("_fine", lambda x, i: i % _FAN == 0)
@@ -114,10 +111,11 @@ def running(
             sums |= {f"{k}_total": F.sum(f"_m_{k}").over(Window.partitionBy(*keys)) for k in measures}
         return base.withColumns(sums).drop(*[f"_m_{k}" for k in measures])
     if keys:
-        joined = base.join(F.broadcast(splits), keys, "left")  # size: see module docstring
+        renamed, same = _same_keys(base, splits, keys)
+        joined = base.join(F.broadcast(renamed), same, "left").drop(*[f"_k{i}" for i in range(len(keys))])  # bounded
     else:
         joined = base.withColumns({c: F.lit(v) for c, v in splits.first().asDict().items()})
-    cut = joined.withColumn("_b", _bucket(_sort_key(df, order[0]))).drop("_fine", "_coarse")
+    cut = joined.withColumn("_b", _bucket(F.col(order[0]))).drop("_fine", "_coarse")
     w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = cut.withColumns({k: F.sum(f"_m_{k}").over(w) for k in measures})
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -134,7 +132,7 @@ def running(
         offsets = F.broadcast(offsets.filter(F.col("_ob") > 0))
     same = F.col("_b") == F.col("_ob")
     for i, c in enumerate(keys):
-        same = same & (F.col(c) == F.col(f"_k{i}"))
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
     out = inner.join(offsets, same, "left")
     out = out.withColumns({k: F.col(k) + F.coalesce(F.col(f"_o_{k}"), F.lit(0)) for k in measures})
     return out.select(*df.columns, *measures, *[f"{k}_total" for k in measures if totals])
@@ -177,15 +175,17 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
     return placed.groupBy(*keys).agg(*parts).select(*keys, *[c.alias(n) for n, c in finish.items()])
 
 
-def sorted_neighbours(df: DataFrame, keys: Sequence[str], order: str, halo: int,
+def sorted_neighbours(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], halo: int,
                       columns: Callable[[Window], dict[str, Column]], rows_per_bucket: int | None = None,
                       chunk_rows: int | None = None) -> DataFrame:
-    """Adds the position `t` in sorted order and window columns over at most `halo` rows to either side."""
-    keys = list(keys)
-    if chunk_rows is None and _split_points(df, keys, order, rows_per_bucket) is None:
-        w = Window.partitionBy(*keys).orderBy(order)
+    """Adds the position `t` in sorted order and window columns over at most `halo` rows to either side.
+
+    `order` has no NULLs; with ties it should end in a row key, so that a repeated task numbers rows alike."""
+    keys, order = list(keys), [order] if isinstance(order, str) else list(order)
+    if chunk_rows is None and _split_points(df, keys, order[0], rows_per_bucket) is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({"t": F.row_number().over(w).cast("bigint"), **columns(w)})
-    placed = row_index(df, keys, [order], "t", rows_per_bucket)
+    placed = row_index(df, keys, order, "t", rows_per_bucket)
     return over_series(placed, halo, columns, keys=keys, chunk_rows=chunk_rows)
 
 

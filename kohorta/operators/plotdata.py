@@ -87,6 +87,9 @@ def feature_density(before: DataFrame, after: DataFrame, max_features: int = 30,
     return out
 
 
+BROADCAST_GROUPS = 1000
+
+
 def boxplot_stats(df: DataFrame, feature: str, group: str = "Diagnosed") -> tuple[DataFrame, DataFrame]:
     """(per group: quartiles, whiskers at the last value within 1.5 IQR, outlier count; the outlier rows)."""
     rows = inf_to_null(nan_to_null(df.select(group, F.col(f"`{feature}`").cast("double").alias("value")))).filter(
@@ -94,7 +97,9 @@ def boxplot_stats(df: DataFrame, feature: str, group: str = "Diagnosed") -> tupl
     q = quantiles(rows, [group], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     fences = q.withColumn("_lo", F.col("q1") - 1.5 * iqr).withColumn("_hi", F.col("q3") + 1.5 * iqr)
-    placed = rows.join(fences, group)
+    # few groups (as always with a class) travel to the rows
+    few = df.select(group).distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    placed = rows.join(F.broadcast(fences) if few else fences, group)
     inside = (F.col("value") >= F.col("_lo")) & (F.col("value") <= F.col("_hi"))
     stats = placed.groupBy(group).agg(
         F.max("q1").alias("q1"), F.max("median").alias("median"), F.max("q3").alias("q3"),

@@ -57,11 +57,12 @@ def validate_dataset(df: DataFrame, required: Sequence[str] = ("Record", "Diagno
     )
     out = out.unionByName(scans)
     if "Diagnosed" in df.columns:
-        bad = invalid_labels(df, allowed).agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-            F.coalesce(F.concat_ws(",", F.array_sort(F.collect_set(F.coalesce("Diagnosed", F.lit("NULL"))))),
-                       F.lit("")).alias("detail"))
-        out = out.unionByName(bad.select(
+        # one row for each invalid value, however many there are
+        bad = invalid_labels(df, allowed).select(F.coalesce("Diagnosed", F.lit("NULL")).alias("detail"), "n")
+        label = F.col("Diagnosed")
+        none = df.agg(F.count_if(label.isNull() | ~label.isin(*allowed)).alias("n")).filter("n = 0") \
+            .select(F.lit("").alias("detail"), "n")
+        out = out.unionByName(bad.unionByName(none).select(
             F.lit("labels").alias("check"), F.when(F.col("n") > 0, "error").otherwise("success").alias("severity"),
             "detail", F.col("n").cast("bigint").alias("n")))
     if "Record" in df.columns:

@@ -7,13 +7,16 @@ synthetic rows do not depend on partitioning. Draws meet their rows by equi-join
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import PATHOLOGICAL, feature_columns
-from ..functions.formulas import uniform
+from ..functions.formulas import uniform, uniform52
 from ..session import materialise
+from .assemble import with_row_id
 from .metrics import class_balance, class_counts
 from .neighbours import knn_join, vector
 from .ordered import row_index
@@ -27,6 +30,12 @@ def _with_vectors(df: DataFrame, features: Sequence[str], id: str) -> DataFrame:
     return df.select(F.col(id).cast("string").alias("rid"), "Diagnosed", vector(features).alias("v"))
 
 
+def _unusable_rows(features: Sequence[str]):
+    fine = [F.col(f"`{c}`").cast("double") for c in features]
+    bad = [x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) for x in fine]
+    return F.count_if(reduce(or_, bad, F.lit(False)))
+
+
 def danger_rows(df: DataFrame, minority: str, features: Sequence[str], id: str = "Record",
                 m: int = DANGER_NEIGHBOURS, **knn) -> DataFrame:
     """Minority rows (rid, other) with m/2 <= number of other-class rows among the m nearest < m."""
@@ -47,7 +56,7 @@ def _synthetic(df: DataFrame, features: Sequence[str], minority: str, n_new: int
     d = F.col("id")
     draws = spark.range(n_new).select(
         d.alias("draw"),
-        F.floor(uniform(d, f"{seed}:row") * n_seeds).alias("pos"),
+        F.floor(uniform52(d, f"{seed}:row") * n_seeds).alias("pos"),
         (F.floor(uniform(d, f"{seed}:neighbour") * k) + 1).cast("int").alias("neighbour_rank"),
         uniform(d, f"{seed}:step").alias("step"))
     started = draws.join(placed, "pos")
@@ -62,9 +71,15 @@ def smote(df: DataFrame, k: int = 7, seed: int = 42, features: Sequence[str] | N
           borderline: bool = False, keep_row_id: bool = False, **knn) -> DataFrame:
     """Originals plus synthetic minority rows up to the majority's size.
 
-    Output: Record (string; 'SMOTE' on synthetic rows), Diagnosed, Is_SMOTE, features; `row_id` is unique.
+    Output: Record (string; 'SMOTE' on synthetic rows), Diagnosed, Is_SMOTE, features; `row_id` is unique. Rows that
+    repeat `id` are rows of their own. A missing or infinite feature value raises a ValueError.
     """
     features = list(features or feature_columns(df))
+    bad = df.agg(_unusable_rows(features)).first()[0]
+    if bad:
+        raise ValueError(f"{bad} rows have a missing or infinite value: drop or fill them first")
+    df = with_row_id(df, id)
+    id = "_rid"
     counts = sorted((r["n"], r["Diagnosed"]) for r in class_counts(df).collect())  # one row per class
     if len(counts) != 2:
         raise ValueError(f"expected two classes, found {[c for _, c in counts]}")

@@ -48,9 +48,8 @@ def mann_whitney(df: DataFrame, features: Sequence[str] | None = None, rows_per_
 
 def bonferroni(tests: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Adds the adjusted p (p x m, at most 1) and the decision p <= alpha / m."""
-    m = F.count("P-Value").over(Window.partitionBy())  # one row per feature, so one task is enough
     p = F.col("P-Value")
-    counted = tests.withColumn("_m", m)
+    counted = tests.crossJoin(F.broadcast(tests.agg(F.count("P-Value").alias("_m"))))  # one row
     return (counted.withColumn("Adjusted P-Value", F.least(F.lit(1.0), p * F.col("_m")))
             .withColumn("Reject Null Hypothesis", p <= F.lit(alpha) / F.col("_m")).drop("_m"))
 

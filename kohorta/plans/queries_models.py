@@ -95,6 +95,29 @@ def _(spark, sf):
     return evaluate.leave_one_out("KNearestNeighbor", _vector_table(spark, sf))
 
 
+_PERSON = VECTORS + """, g AS (SELECT *, "Record" // 2 AS person FROM vectors),
+    near AS (SELECT * FROM (SELECT q."Record", t.label, ROW_NUMBER() OVER (PARTITION BY q."Record" ORDER BY ROUND(list_distance(q.v, t.v), 9), t."Record") AS r
+    FROM g q JOIN g t ON {apart}) WHERE r <= 5),
+    vote AS (SELECT "Record", CASE WHEN AVG(CAST(label AS DOUBLE)) > 0.5::DOUBLE THEN 1 ELSE 0 END AS p FROM near GROUP BY "Record")"""
+
+
+def _people(spark, sf):
+    """Two recordings of each person."""
+    return _vector_table(spark, sf).withColumn("Record", F.floor(F.col("Record") / 2))
+
+
+@query("EV2_leave_patient_out_repeated", _PERSON.format(apart="q.person <> t.person") + """ SELECT person AS "Record", 'KNearestNeighbor' AS "Model", 'Pathological' AS "True_Label",
+    CASE p WHEN 1 THEN 'Pathological' ELSE 'Control' END AS "Predicted" FROM g JOIN vote ON g."Record" = vote."Record" WHERE label = 1""")
+def _(spark, sf):
+    return evaluate.leave_patient_out("KNearestNeighbor", _people(spark, sf))
+
+
+@query("EV3_leave_one_out_repeated", _PERSON.format(apart='q."Record" <> t."Record"') + """ SELECT person AS "Record", CASE WHEN p = label THEN 1 ELSE 0 END AS "Accuracy", label AS "True_Label", p AS "Predicted",
+    'KNearestNeighbor' AS "Model", 1 AS "Execution", FALSE AS "Is_SMOTE" FROM g JOIN vote ON g."Record" = vote."Record" """)
+def _(spark, sf):
+    return evaluate.leave_one_out("KNearestNeighbor", _people(spark, sf))
+
+
 @query("EV3_leave_one_out_folds")
 def _(spark, sf):
     return evaluate.leave_one_out("DecisionTree", _vector_table(spark, sf), {"maxDepth": 4}, folds=5)
@@ -102,6 +125,10 @@ def _(spark, sf):
 
 # ---- resampling ---------------------------------------------------------------------------------
 
+def _wide_draw(tag: str) -> str:
+    return f"CAST('0x' || substr(md5(CAST(d AS VARCHAR) || ':42:{tag}'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
 def _draw(tag: str) -> str:
     return f"CAST('0x' || substr(md5(CAST(d AS VARCHAR) || ':42:{tag}'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
 
@@ -115,7 +142,7 @@ _ALL_START = ", start AS (SELECT * FROM mino)"
 _SMOTE = f""", mate AS (SELECT * FROM (SELECT q.rid, t.rid AS mate, t.v AS w, ROW_NUMBER() OVER (PARTITION BY q.rid ORDER BY ROUND(list_distance(q.v, t.v), 9), t.rid) AS r
     FROM start q JOIN mino t ON q.rid <> t.rid) WHERE r <= 7),
     placed AS (SELECT rid, v, ROW_NUMBER() OVER (ORDER BY rid) - 1 AS pos FROM start),
-    draws AS (SELECT d, CAST(FLOOR({_draw('row')} * (SELECT COUNT(*) FROM start)) AS BIGINT) AS pos, CAST(FLOOR({_draw('neighbour')} * 7) AS BIGINT) + 1 AS r, {_draw('step')} AS step
+    draws AS (SELECT d, CAST(FLOOR({_wide_draw('row')} * (SELECT COUNT(*) FROM start)) AS BIGINT) AS pos, CAST(FLOOR({_draw('neighbour')} * 7) AS BIGINT) + 1 AS r, {_draw('step')} AS step
     FROM range(0, (SELECT n_new FROM size)) t(d)),
     made AS (SELECT 's:' || CAST(d AS VARCHAR) AS row_id, 'SMOTE' AS "Record", 'Pathological' AS "Diagnosed", TRUE AS "Is_SMOTE",
     list_transform(list_zip(p.v, m.w), lambda z: z[1] + step * (z[2] - z[1])) AS v FROM draws JOIN placed p ON draws.pos = p.pos JOIN mate m ON m.rid = p.rid AND m.r = draws.r),
@@ -139,6 +166,17 @@ for _name, _method, _sql in (
     query(_name, VECTORS + _ROWS + _sql, ", ".join(WIDE))(_resampled)
 
 
+@query("RS1_smote_repeated_records", VECTORS + """, r AS (SELECT "Record" // 2 AS "Record", "Diagnosed" FROM vectors),
+    n AS (SELECT COUNT(*) FILTER ("Diagnosed" = 'Control') AS c, COUNT(*) FILTER ("Diagnosed" = 'Pathological') AS p FROM r)
+    SELECT CAST("Record" AS VARCHAR) AS "Record", "Diagnosed", FALSE AS "Is_SMOTE", COUNT(*) AS n, COUNT(*) AS row_ids FROM r GROUP BY ALL
+    UNION ALL SELECT 'SMOTE', 'Pathological', TRUE, c - p, c - p FROM n""")
+def _(spark, sf):
+    """Two recordings of each person: as many new rows as the classes differ by, every row with an id of its own."""
+    twice = B.wide_vectors(spark, sf).withColumn("Record", F.floor(F.col("Record") / 2))
+    return resample.smote(twice, keep_row_id=True).groupBy("Record", "Diagnosed", "Is_SMOTE").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("row_ids"))
+
+
 @query("RS2_danger_rows", VECTORS + _ROWS + _DANGER.replace("SELECT rid FROM (SELECT", "SELECT rid, COUNT(*) FILTER (other <> 'Pathological') AS other FROM (SELECT")
        .replace(", start AS (SELECT mino.* FROM mino JOIN danger ON mino.rid = danger.rid)", "") + " SELECT rid, other FROM danger")
 def _(spark, sf):

@@ -547,9 +547,9 @@ _VALIDATION = (with_sql("cohort") + """, c AS (SELECT * REPLACE (""" + _INF + ""
     f"""UNION ALL SELECT 'missing_values', CASE WHEN COUNT(*) > COUNT("{c}") THEN 'warning' ELSE 'success' END, '{c}', COUNT(*) - COUNT("{c}") FROM c """
     for c in _NAMES) + "".join(
     f"""UNION ALL SELECT 'infinite_values', CASE WHEN COUNT(*) FILTER (isinf("{c}")) > 0 THEN 'warning' ELSE 'success' END, '{c}', COUNT(*) FILTER (isinf("{c}")) FROM c """
-    for c in B.COHORT_FEATURES) + """UNION ALL SELECT 'labels', CASE WHEN COUNT(*) FILTER ("Diagnosed" NOT IN ('Control', 'Pathological')) > 0 THEN 'error' ELSE 'success' END,
-    COALESCE(STRING_AGG(DISTINCT "Diagnosed", ',') FILTER ("Diagnosed" NOT IN ('Control', 'Pathological')), ''),
-    COUNT(*) FILTER ("Diagnosed" NOT IN ('Control', 'Pathological')) FROM c
+    for c in B.COHORT_FEATURES) + """UNION ALL SELECT 'labels', 'error', COALESCE("Diagnosed", 'NULL'), COUNT(*) FROM c
+    WHERE "Diagnosed" IS NULL OR "Diagnosed" NOT IN ('Control', 'Pathological') GROUP BY "Diagnosed"
+    UNION ALL SELECT 'labels', 'success', '', 0 WHERE NOT EXISTS (SELECT 1 FROM c WHERE "Diagnosed" IS NULL OR "Diagnosed" NOT IN ('Control', 'Pathological'))
     UNION ALL SELECT 'duplicates', CASE WHEN COUNT(*) > COUNT(DISTINCT "Record") THEN 'warning' ELSE 'success' END, 'Record', COUNT(*) - COUNT(DISTINCT "Record") FROM c""")
 
 

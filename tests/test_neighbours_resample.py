@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from kohorta.operators import neighbours as nb
 from kohorta.operators import resample as rs
-from kohorta.operators import split
+from kohorta.operators import evaluate, split
 
 
 @pytest.fixture(scope="module")
@@ -115,3 +115,26 @@ def test_split_large_bin(spark, monkeypatch):
     monkeypatch.setattr(split, "_SMALL_BIN", 0)
     df = spark.range(300).select(F.col("id").alias("Record"))
     assert split.train_test_split(df, 0.5, 3).filter("is_test").count() == 150
+
+
+@pytest.mark.parametrize("bad", [None, float("nan"), float("inf")])
+def test_missing_values_are_refused(spark, bad):
+    rows = [(f"r{i}", "Pathological" if i < 9 else "Control", float(i), bad if i == 3 else float(i * i % 7)) for i in range(30)]
+    df = spark.createDataFrame(rows, "Record string, Diagnosed string, a double, b double")
+    with pytest.raises(ValueError, match="missing or infinite"):
+        rs.smote(df, k=3)
+    v = df.select("Record", nb.vector(["a", "b"]).alias("v"))
+    for size in (0, 1 << 20):
+        with pytest.raises(ValueError, match="missing or infinite"):
+            nb.knn_join(v, v, 2, broadcast_bytes=size)
+
+
+def test_repeated_records_are_rows_of_their_own(spark):
+    rows = [(f"r{i // 2}", "Pathological" if i < 20 else "Control", float(i % 11), float(i * i % 17)) for i in range(70)]
+    df = spark.createDataFrame(rows, "Record string, Diagnosed string, a double, b double")
+    out = rs.smote(df, k=3, keep_row_id=True)
+    counts = {r.Diagnosed: r["count"] for r in out.groupBy("Diagnosed").count().collect()}
+    assert counts == {"Pathological": 50, "Control": 50}
+    assert out.select("row_id").distinct().count() == 100
+    train, test, whole = evaluate.split_and_scale(df, ["a", "b"], 42, method=None)
+    assert whole.select("row_id").distinct().count() == 70 and test.count() == 14

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kohorta.operators import functionals as fn
+from kohorta.operators import ordered
 from kohorta.operators import perturbation as pt
 from kohorta.operators.ordered import mid_rank, over_series, quantiles, row_index
 
@@ -133,3 +134,20 @@ def test_text_order(spark):
     df = spark.range(500).select(F.concat(F.lit("o:"), F.format_string("%04d", F.col("id") * 7 % 500)).alias("rid"))
     got = row_index(df, [], ["rid"], "t", rows_per_bucket=60).orderBy("t").toPandas()
     assert list(got["rid"]) == sorted(got["rid"]) and list(got["t"]) == list(range(1, 501))
+
+
+def test_split_and_whole_groups_agree_on_null_keys_ties_and_long_prefixes(spark):
+    rows = [(None if i % 3 == 0 else f"g{i % 3}", float(i % 50), f"/data/patients/session/record_{i:05d}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "g string, v double, id string")
+    probs = {"q": 0.5, "hi": 0.9}
+    whole = {r.g: (r.q, r.hi) for r in ordered.quantiles(df, ["g"], "v", probs).collect()}
+    cut = {r.g: (r.q, r.hi) for r in ordered.quantiles(df, ["g"], "v", probs, rows_per_bucket=40).collect()}
+    assert whole == cut and cut[None] is not None and None not in cut[None]
+    a = {r.id: r.t for r in ordered.row_index(df, [], ["id"]).collect()}
+    b = {r.id: r.t for r in ordered.row_index(df, [], ["id"], rows_per_bucket=60).collect()}
+    assert a == b and sorted(a.values()) == list(range(1, 1501))
+    points = ordered._split_points(df, [], "id", 60).first()["_fine"]
+    assert len(points) > 10  # ids that share a long prefix are cut into ranges all the same
+    totals = ordered.running(df.groupBy("g", "v").count(), ["g"], ["v"], {"c": F.col("count")}, sizing=df, rows_per_bucket=40,
+                             totals=True)
+    assert {(r.g, r.c_total) for r in totals.collect()} == {(None, 500), ("g1", 500), ("g2", 500)}
