@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,40 +75,46 @@ def uniform52(key: Column, seed) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta integral (modified Lentz)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
+def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Continued fraction of the incomplete beta integral (modified Lentz), for whole arrays."""
+    def away(v):
+        return np.where(np.abs(v) > 1e-300, v, 1e-300)
+
+    c, d = np.ones_like(x), 1.0 / away(1.0 - (a + b) * x / (a + 1.0))
+    h = d.copy()
     for m in range(1, 400):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1.0 + num * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + num / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1.0) < 1e-15:
+            d, c = 1.0 / away(1.0 + num * d), away(1.0 + num / c)
+            h = h * d * c
+        if (np.abs(d * c - 1.0) < 1e-15).all():
             break
     return h
 
 
-def student_tail(t: float, dof: float) -> float:
-    """Two-sided tail of Student's t."""
-    if t is None or dof is None or math.isnan(t) or math.isnan(dof) or dof <= 0:
-        return float("nan")
-    x, a, b = dof / (dof + t * t), dof / 2.0, 0.5
-    if x <= 0.0 or x >= 1.0:
-        return min(max(x, 0.0), 1.0)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+def student_tail(t, dof) -> np.ndarray:
+    """Two-sided tail of Student's t, for whole arrays; NaN where an argument is missing or dof is not positive."""
+    t, dof = np.broadcast_arrays(np.asarray(t, float), np.asarray(dof, float))
+    out = np.full(t.shape, np.nan)
+    ok = ~np.isnan(t) & (dof > 0)
+    n = dof[ok]
+    x, a, b = n / (n + t[ok] ** 2), n / 2.0, np.full(n.shape, 0.5)
+    out[ok] = np.clip(x, 0.0, 1.0)  # right at both ends
+    inner = (x > 0.0) & (x < 1.0)
+    x, a, b = x[inner], a[inner], b[inner]
+    sizes, back = np.unique(a, return_inverse=True)
+    constant = np.array([math.lgamma(v + 0.5) - math.lgamma(v) - math.lgamma(0.5) for v in sizes])[back]
+    front = np.exp(constant + a * np.log(x) + b * np.log1p(-x))
+    low = x < (a + 1.0) / (a + b + 2.0)
+    tail = np.empty(x.shape)
+    tail[low] = front[low] * _beta_fraction(a[low], b[low], x[low]) / a[low]
+    tail[~low] = 1.0 - front[~low] * _beta_fraction(b[~low], a[~low], 1.0 - x[~low]) / b[~low]
+    where = np.flatnonzero(ok)[inner]
+    out.flat[where] = tail
+    return out
 
 
 @F.pandas_udf(DoubleType())
 def student_two_sided(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Result rows only: one row per compared pair of models."""
     for t, dof in parts:
-        yield pd.Series([student_tail(a, b) for a, b in zip(t, dof)], dtype="float64").where(t.notna())
+        yield pd.Series(student_tail(t, dof), index=t.index).where(t.notna())

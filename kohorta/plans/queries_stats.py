@@ -10,7 +10,7 @@ from ..operators.ordered import mid_rank, quantiles, running
 from ..operators.split import train_test_split
 from . import bindings as B
 from .bindings import with_sql
-from .queries_tables import hash_sql, kolmogorov_sql, labelled_predictions, normal_sql
+from .queries_tables import hash_sql, kolmogorov_sql, labelled_predictions, normal_sql, student8_sql
 from .registry import query
 
 FEATS = B.COHORT_FEATURES
@@ -529,14 +529,20 @@ def _(spark, sf):
     return stats.model_pairs(metrics_table(spark, sf))
 
 
-@query("ST4_t_test_statistic", PRED + _METRICS + _TALL + """ SELECT "Metric", "Method", "Model 1", "Model 2", CAST(n1 + n2 - 2 AS DOUBLE) AS dof,
+_T_SQL = PRED + _METRICS + _TALL + """ SELECT "Metric", "Method", "Model 1", "Model 2", CAST(n1 + n2 - 2 AS DOUBLE) AS dof,
     (m1 - m2) / NULLIF(SQRT(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n2)), 0) AS "T-statistic"
-    FROM pairs WHERE n1 > 1 AND n2 > 1""", "dof, T-statistic")
+    FROM pairs WHERE n1 > 1 AND n2 > 1"""
+
+
+@query("ST4_t_test_statistic", _T_SQL, "dof, T-statistic")
 def _(spark, sf):
     return stats.t_test_pairs(metrics_table(spark, sf)).select("Metric", "Method", "Model 1", "Model 2", "dof", "T-statistic")
 
 
-@query("ST4_t_test_pairs")
+@query("ST4_t_test_pairs", f"""SELECT *, COALESCE("P-value" < 0.05::DOUBLE, FALSE) AS "Significant", CASE WHEN "T-statistic" > 0 THEN "Model 1"
+    WHEN "T-statistic" IS NOT NULL THEN "Model 2" END || CASE WHEN "P-value" < 0.05::DOUBLE THEN '*' ELSE '' END AS "Better Model"
+    FROM (SELECT *, CASE WHEN dof = 8 THEN {student8_sql('"T-statistic"')} END AS "P-value" FROM ({_T_SQL}) AS a) AS b""",
+       "dof, T-statistic, P-value")
 def _(spark, sf):
     return stats.t_test_pairs(metrics_table(spark, sf))
 
@@ -571,7 +577,7 @@ def _(spark, sf):
 
 # ---- scalers ------------------------------------------------------------------------------------
 
-_SCALED = ["qty_sum", "price_std", "Pr01"]
+_SCALED = list(FEATS)
 
 
 def _scaler(name: str, method: str, centre: str, spread: str):
@@ -597,7 +603,7 @@ def _(spark, sf):
     return quantiles(_long(spark, sf), ["Feature"], "value", {"q10": 0.1, "q50": 0.5, "q90": 0.9}, rows_per_bucket=4000)
 
 
-@query("SL5_inverse_transform", with_sql("cohort") + ' SELECT "Record", qty_sum, price_std, "Pr01" FROM cohort', ", ".join(_SCALED))
+@query("SL5_inverse_transform", with_sql("cohort") + ' SELECT "Record", ' + ", ".join(f'"{c}"' for c in _SCALED) + " FROM cohort", ", ".join(_SCALED))
 def _(spark, sf):
     df = B.cohort(spark, sf).select("Record", *_SCALED)
     s = scale.Scaler("minmax").fit(df)

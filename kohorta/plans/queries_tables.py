@@ -26,10 +26,9 @@ def scratch(spark, name: str) -> str:
 
 # ---- scans and sinks ----------------------------------------------------------------------------
 
-@query("SC1_read_dataset", "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders", "o_totalprice")
+@query("SC1_read_dataset", "SELECT * FROM orders", "o_totalprice")
 def _(spark, sf):
-    df = IO.read_dataset(spark, "orders.parquet", [f"{sf}/results/datasets", sf])
-    return df.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    return IO.read_dataset(spark, "orders.parquet", [f"{sf}/results/datasets", sf])
 
 
 def _marker_file(spark, sf, label: str) -> str:
@@ -84,22 +83,26 @@ def _(spark, sf):
     return IO.validate_files(B.recordings(spark, sf))
 
 
+def _half_up(c: str) -> str:
+    """Four decimals, halves of the shortest decimal form up, as CSV text has them."""
+    return f'CAST(ROUND(CAST(CAST("{c}" AS VARCHAR) AS DECIMAL(30, 10)), 4) AS DECIMAL(30, 4))'
+
+
 @query("SC7_write_dataset", with_sql("cohort") + ' SELECT "Record", "Diagnosed", ' + ", ".join(
-    f"""CASE WHEN "{c}" IS NOT NULL THEN printf('%.4f', ROUND("{c}", 4)) END AS "{c}" """ for c in ("qty_sum", "Pr01", "Pr02", "price_sum"))
-    + " FROM cohort")
+    f'CAST({_half_up(c)} AS VARCHAR) AS "{c}" ' for c in B.COHORT_FEATURES) + " FROM cohort")
 def _(spark, sf):
-    df = B.cohort(spark, sf).select("Record", "Diagnosed", "qty_sum", "Pr01", "Pr02", "price_sum")
+    df = B.cohort(spark, sf).select("Record", "Diagnosed", *B.COHORT_FEATURES)
     path = scratch(spark, "results")
     file = IO.write_result(df, path, "dataset", "dataset.csv")
-    text = "Record bigint, Diagnosed string, qty_sum string, Pr01 string, Pr02 string, price_sum string"
+    text = "Record bigint, Diagnosed string, " + ", ".join(f"{c} string" for c in B.COHORT_FEATURES)
     return spark.read.schema(text).option("header", True).csv(file)
 
 
-@query("SC8_read_back", with_sql("cohort") + """ SELECT CAST("Record" AS VARCHAR) AS "Record", "Diagnosed",
-    price_sum, "Pr01" FROM cohort""", "price_sum, Pr01")
+@query("SC8_read_back", with_sql("cohort") + """ SELECT CAST("Record" AS VARCHAR) AS "Record", "Diagnosed", """ + ", ".join(
+    f'CAST({_half_up(c)} AS DOUBLE) AS "{c}"' for c in B.COHORT_FEATURES) + " FROM cohort", COHORT_FLOATS)
 def _(spark, sf):
     root = scratch(spark, "results")
-    IO.write_result(B.cohort(spark, sf).select("Record", "Diagnosed", "price_sum", "Pr01"), root, "features", "features.csv")
+    IO.write_result(B.cohort(spark, sf), root, "features", "features.csv")
     return IO.read_result(spark, root, "features", "features.csv")
 
 
@@ -258,19 +261,19 @@ def _(spark, sf):
     return C.flag_misclassified(labelled_predictions(spark, sf)).select("Record", "Model", "Predicted", "Misclassified")
 
 
-@query("PR16_prepare_xy", with_sql("cohort") + """, complete AS (SELECT * FROM cohort WHERE price_std IS NOT NULL),
-    s AS (SELECT AVG(qty_sum) AS m1, STDDEV_POP(qty_sum) AS s1, AVG("Pr01") AS m2, STDDEV_POP("Pr01") AS s2 FROM complete)
-    SELECT "Record", CASE WHEN "Diagnosed" = 'Pathological' THEN 1 ELSE 0 END AS label, (qty_sum - m1) / s1 AS qty_sum,
-    ("Pr01" - m2) / s2 AS "Pr01" FROM complete, s""", "qty_sum, Pr01")
+@query("PR16_prepare_xy", with_sql("cohort") + """, complete AS (SELECT * FROM cohort WHERE price_std IS NOT NULL)
+    SELECT "Record", CASE WHEN "Diagnosed" = 'Pathological' THEN 1 ELSE 0 END AS label, """ + ", ".join(
+    f'("{c}" - (SELECT AVG("{c}") FROM complete)) / (SELECT STDDEV_POP("{c}") FROM complete) AS "{c}"' for c in B.COHORT_FEATURES)
+    + " FROM complete", ", ".join(B.COHORT_FEATURES))
 def _(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     from ..operators.models import prepare_xy
     from ..operators.scale import Scaler
     df = C.drop_missing(B.cohort(spark, sf))
-    xy = prepare_xy(Scaler().fit_transform(df, ["qty_sum", "Pr01"]), ["qty_sum", "Pr01"])
+    xy = prepare_xy(Scaler().fit_transform(df, B.COHORT_FEATURES), B.COHORT_FEATURES)
     v = vector_to_array("features")
-    return xy.select("Record", "label", v[0].alias("qty_sum"), v[1].alias("Pr01"))
+    return xy.select("Record", "label", *[v[i].alias(c) for i, c in enumerate(B.COHORT_FEATURES)])
 
 
 # ---- joins --------------------------------------------------------------------------------------
@@ -443,7 +446,13 @@ def _(spark, sf):
         "event_id", kolmogorov_tail(F.col("value") / 1000.0, F.lit(80.0), F.lit(120.0)).alias("p"))
 
 
-@query("SF9_student_tail")
+def student8_sql(t: str) -> str:
+    """Two-sided tail of Student's t with 8 degrees of freedom, by the finite series for even degrees."""
+    c = f"(8.0::DOUBLE / (8.0::DOUBLE + {t} * {t}))"
+    return f"(1.0::DOUBLE - ABS({t}) / SQRT(8.0::DOUBLE + {t} * {t}) * (1.0::DOUBLE + {c} / 2 + 3 * {c} * {c} / 8 + 15 * {c} * {c} * {c} / 48))"
+
+
+@query("SF9_student_tail", f"SELECT event_id, {student8_sql('(value / 100.0::DOUBLE)')} AS p FROM events", "p")
 def _(spark, sf):
     from ..functions.formulas import student_two_sided
     t = B.table(spark, sf, "events").select("event_id", (F.col("value") / 100.0).alias("t"), F.lit(8.0).alias("dof"))
