@@ -11,21 +11,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-# Chebyshev coefficients of the complementary error function, highest order last.
-ERFC_COEFFICIENTS = (
-    -1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
-    0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277,
-)
 EULER_GAMMA = 0.5772156649015329
 
 
 def erfc(x: Column) -> Column:
-    """Complementary error function for x >= 0, relative error below 1.2e-7."""
-    t = F.lit(1.0) / (F.lit(1.0) + x / F.lit(2.0))
-    poly = F.lit(ERFC_COEFFICIENTS[-1])
-    for c in reversed(ERFC_COEFFICIENTS[:-1]):
-        poly = F.lit(c) + t * poly
-    return t * F.exp(-x * x + poly)
+    """Complementary error function for x >= 0, relative error below 1e-12.
+
+    Below 2 the series of positive terms 2x/sqrt(pi) exp(-x^2) (1 + y/3 (1 + y/5 (1 + ...))) with y = 2x^2, above it the
+    continued fraction exp(-x^2)/sqrt(pi) / (x + 1/2 / (x + 2/2 / (x + 3/2 / ...))).
+    """
+    y, series, fraction = F.lit(2.0) * x * x, F.lit(1.0), x
+    for n in range(45, 0, -1):
+        series = F.lit(1.0) + y / F.lit(2.0 * n + 1.0) * series
+    for n in range(50, 0, -1):
+        fraction = x + F.lit(n / 2.0) / fraction
+    bell = F.exp(-x * x) / F.lit(math.sqrt(math.pi))
+    return F.when(x < 2, F.lit(1.0) - F.lit(2.0) * x * bell * series).otherwise(bell / fraction)
 
 
 def normal_two_sided(z: Column) -> Column:

@@ -416,12 +416,9 @@ def _(spark, sf):
 
 
 def erfc_sql(x: str) -> str:
-    from ..functions.formulas import ERFC_COEFFICIENTS
-    t = f"(1.0::DOUBLE / (1.0::DOUBLE + ({x}) / 2.0::DOUBLE))"
-    poly = f"{ERFC_COEFFICIENTS[-1]}::DOUBLE"
-    for c in reversed(ERFC_COEFFICIENTS[:-1]):
-        poly = f"(({c})::DOUBLE + {t} * {poly})"
-    return f"({t} * EXP(-({x}) * ({x}) + {poly}))"
+    """1 - exp(-x^2) sum of x^(2n+1) / Gamma(n + 3/2), to the 15th decimal."""
+    total = f"list_sum(list_transform(range(0, 160), lambda n: EXP((2 * n + 1) * LN({x}) - ({x}) * ({x}) - LGAMMA(n + 1.5::DOUBLE))))"
+    return f"(CASE WHEN ({x}) = 0 THEN 1.0::DOUBLE WHEN ({x}) > 6 THEN 0.0::DOUBLE ELSE GREATEST(0.0::DOUBLE, 1.0::DOUBLE - {total}) END)"
 
 
 def normal_sql(z: str) -> str:
