@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.columns import encode_label, feature_columns
+from ..session import materialise
 from .neighbours import knn_predict
 
 Predict = Callable[[DataFrame], DataFrame]
@@ -38,11 +39,11 @@ def prepare_xy(df: DataFrame, features: Sequence[str] | None = None, keep: Seque
 
 
 def training_table(df: DataFrame, key: str = "Record") -> DataFrame:
-    """Cached and evenly spread by key: iterative fits pass over it many times, and a small table that arrives in one
-    partition would otherwise keep one slot busy."""
+    """Stored and evenly spread by key: iterative fits pass over it many times, and a small table that arrives in one
+    partition would otherwise keep one slot busy. Stored, it survives lost executors and holds no memory afterwards."""
     spark = df.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, key).persist(StorageLevel.MEMORY_AND_DISK)
+    return materialise(df.repartition(n, key), "training")
 
 
 # ---- tree families and linear models ------------------------------------------------------------
@@ -85,32 +86,33 @@ def _root(model) -> Stump:
                  int(node.rightChild().prediction()))
 
 
+STORED_EVERY = 8
+
+
 def fit_adaboost(train: DataFrame, params: dict, seed: int) -> Predict:
-    """SAMME with weighted depth-one trees. A row's weight is a closed expression over the stumps so far, so rounds
-    add no joins and no lineage."""
+    """SAMME with weighted depth-one trees. A row's log weight is a column: every `STORED_EVERY` rounds it is written, in
+    between it is the stored value and a short expression over the latest stumps."""
     rounds, rate = int(params.get("n_estimators", 50)), float(params.get("learning_rate", 1.0))
-    base = train.select("label", "features", vector_to_array("features").alias("v")).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    base = materialise(train.select("label", "features", vector_to_array("features").alias("v"), F.lit(0.0).alias("log_w")),
+                       "adaboost")
     members: list[tuple[float, Stump]] = []
-    try:
-        for r in range(rounds):
-            log_w = F.lit(0.0)
-            for alpha, stump in members:
-                log_w = log_w + F.when(stump.vote(F.col("v")) != F.col("label"), F.lit(alpha)).otherwise(0.0)
-            weighted = base.withColumn("w", F.exp(log_w))
-            tree = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=seed + r, labelCol="label",
-                                          featuresCol="features")
-            stump = _root(tree.fit(weighted))
-            miss = F.when(stump.vote(F.col("v")) != F.col("label"), F.col("w")).otherwise(0.0)
-            error = weighted.agg(F.sum(miss) / F.sum("w")).first()[0]
-            if error <= 0.0:
-                members = [(1.0, stump)]
-                break
-            if error >= 0.5:
-                break
-            members.append((rate * math.log((1.0 - error) / error), stump))
-    finally:
-        base.unpersist()
+    log_w = F.col("log_w")
+    for r in range(rounds):
+        weighted = base.withColumn("w", F.exp(log_w))
+        tree = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=seed + r, labelCol="label", featuresCol="features")
+        stump = _root(tree.fit(weighted))
+        missed = stump.vote(F.col("v")) != F.col("label")
+        error = weighted.agg(F.sum(F.when(missed, F.col("w")).otherwise(0.0)) / F.sum("w")).first()[0]
+        if error <= 0.0:
+            members = [(1.0, stump)]
+            break
+        if error >= 0.5:
+            break
+        alpha = rate * math.log((1.0 - error) / error)
+        members.append((alpha, stump))
+        log_w = log_w + F.when(missed, F.lit(alpha)).otherwise(0.0)
+        if len(members) % STORED_EVERY == 0:
+            base, log_w = materialise(base.withColumn("log_w", log_w), "adaboost"), F.col("log_w")
     if not members:
         members = [(1.0, stump)]
     total = sum(a for a, _ in members)
