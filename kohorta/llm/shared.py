@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +27,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that deletes an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write `df` as parquet to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The shuffle files of the writing job go when it ends, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -42,6 +56,13 @@ def discard(*frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drawn(df: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """At most `size` rows, those of the least hashes of `keys` among about twice as many that a hash picks first: so a
+    task sorts few rows however many it reads, and few rows meet where the last ones are chosen."""
+    thin = max(1, df.count() // (2 * size))
+    return df.where(F.pmod(F.xxhash64(*keys, F.lit(77)), F.lit(thin)) == 0).orderBy(F.xxhash64(*keys), *keys).limit(size)
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str, key: str = "_row") -> DataFrame:
     """`df` with a unique long `key` whose order is that of `id_col`.
 
@@ -97,6 +118,16 @@ class Hashes:
         return _mixed((prefixes[width:] - prefixes[:-width]) * self.down[:n] + np.uint64(width))
 
 
+def portions(batch: pa.RecordBatch, column: int, limit: int = 1 << 23):
+    """Slices of a batch whose `column` holds about `limit` bytes each, so that a task's memory stays bounded."""
+    size = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = np.cumsum(size) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def sub_batches(texts: list[bytes], limit: int = 1 << 20):
     """(first, end) index ranges of `texts` that hold about `limit` bytes each; a longer text is alone."""
     first, size = 0, 0

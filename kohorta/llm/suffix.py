@@ -30,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Hashes, _mixed, discard, keyed, runs, stored, sub_batches
+from .shared import Hashes, _mixed, keyed, portions, runs, stored, sub_batches
 
 PLAIN, SURE_FIRST, BEACON, SURE_REPEAT = 0, 1, 2, 3
+SUB = 1 << 19  # bytes that are hashed at once
 _ROWS = "pk long, ctx long, row long, s long, n long, kind int"
 
 
@@ -130,10 +131,10 @@ def repeats(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
 
     def sample(batches):
         hashes = Hashes(11)
-        for batch in batches:
+        for batch in (p for b in batches for p in portions(b, 1)):
             row, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             parts = []
-            for lo, hi in sub_batches(raw):
+            for lo, hi in sub_batches(raw, SUB):
                 size = np.array([len(t) for t in raw[lo:hi]], np.int64)
                 name, s, n, ctx = stretches(np.frombuffer(b"".join(raw[lo:hi]), np.uint8), size, min_bytes, width, hashes)
                 end = np.cumsum(size)
@@ -146,11 +147,11 @@ def repeats(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
 
     def expand(batches):
         one, two = Hashes(12), Hashes(13)
-        for batch in batches:
+        for batch in (p for b in batches for p in portions(b, 1)):
             row, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             doc, first, count = _lists(batch.column(2))
             parts = []
-            for lo, hi in sub_batches(raw):
+            for lo, hi in sub_batches(raw, SUB):
                 a, b = np.searchsorted(doc, [lo, hi])
                 size = np.array([len(t) for t in raw[lo:hi]], np.int64)
                 data, base = np.frombuffer(b"".join(raw[lo:hi]), np.uint8), np.cumsum(size) - size
@@ -181,7 +182,7 @@ def dedup(docs: DataFrame, *, min_bytes: int = 100, id_col: str = "doc_id", text
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * keep_text + extra
 
     def cut(batches):
-        for batch in batches:
+        for batch in (p for b in batches for p in portions(b, 1)):
             raw = batch.column(1).to_pylist()
             doc, s, n = _lists(batch.column(2))
             removed, pieces, digest, text = [], [], [], []
