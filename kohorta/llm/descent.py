@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import discard, stored
+from .shared import discard, drawn, stored
 from .vectors import matrix, usable
 
 PAIRS = "node long, nbr long, sim double"
@@ -140,8 +140,7 @@ def _missed(v: DataFrame, parts: DataFrame, kind, threshold: float, sample: int)
     """(links of sampled vectors that join different components, all their links): compared with every row."""
     label = v.join(parts.withColumnRenamed("component", "part"), "node", "left") \
         .select("node", "x", F.coalesce("part", "node").alias("part"), F.col("part").isNotNull().alias("linked"))
-    some = label.orderBy(F.desc("linked"), F.xxhash64("node")).limit(sample) \
-        .union(label.orderBy(F.xxhash64("node", F.lit(1))).limit(sample)).toArrow()
+    some = drawn(label.where("linked"), ["node"], sample).union(drawn(label, ["node"], sample)).toArrow()
     own, part, q = some.column("node").to_numpy(), some.column("part").to_numpy(), _stack(some.column("x"), kind)
 
     def count(batches):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import LETTER, classes
-from .shared import _mixed, runs
+from .shared import _mixed, drawn, runs
 
 BUCKETS = 1 << 15
 #: First code points of script ranges (Unicode blocks); a letter's script is the last range that begins
@@ -98,9 +98,12 @@ class Languages:
 
 def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id",
         max_rows: int = 8_000, penalty: float = 8.0) -> Languages:
-    """Learn from the whole texts of at most `max_rows` rows with text and language, those of the least id hashes."""
-    rows = docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("g"), F.col(order_col).alias("o")) \
-        .where("t is not null and g is not null").orderBy(F.xxhash64("o"), "o").limit(max_rows).repartition(16)
+    """Learn from the whole texts of at most `max_rows` rows with text and language (rows that repeat one of them count
+    as it does), picked by hashes of id and text."""
+    rows = docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("g"), F.xxhash64(order_col, text_col).alias("o")) \
+        .where("t is not null and g is not null")
+    few = drawn(rows.select("o"), ["o"], max_rows).distinct()  # max_rows hashes at most
+    rows = rows.join(F.broadcast(few), "o").repartition(16)
 
     def count(batches):
         for batch in batches:

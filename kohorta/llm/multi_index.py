@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import drawn, stored
 from .vectors import dots, matrix, rows_of, usable
 
 
@@ -80,10 +80,10 @@ class Index:
 
 def fit(rows: DataFrame, *, codes: int = 64, sample: int = 20_000, seed: int = 3) -> Index | None:
     """Codebooks from a bounded sample, counts from all rows."""
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column(0).combine_chunks()
-    if not len(drawn):
+    some = drawn(rows, ["id"], sample).select("v").toArrow().column(0).combine_chunks()
+    if not len(some):
         return None
-    x, rng = matrix(drawn), np.random.default_rng(seed)
+    x, rng = matrix(some), np.random.default_rng(seed)
     half = (x.shape[1] + 1) // 2
     index = Index(centroids(x[:, :half], codes, rng),
                   centroids(x[:, half:], codes, rng) if half < x.shape[1] else np.zeros((1, 0)), np.zeros((1, 1)))
@@ -128,7 +128,7 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 
 def _needed(rows: DataFrame, queries: DataFrame, index: Index, k: int, recall: float, audit: int) -> int:
     """Rows that cells must hold so that a sample of queries finds `recall` of its exact neighbours."""
-    some = queries.orderBy(F.xxhash64("id"), "id").limit(audit).toArrow()
+    some = drawn(queries, ["id"], audit).toArrow()
     own, q = some.column("id").to_numpy(), matrix(some.column("v").combine_chunks())
 
     def brute(batches):

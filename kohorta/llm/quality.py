@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import drawn, stored
 
 N_STATS = 16
 _ENDS = re.compile(r"[.!?,;:]$")
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         .where("_id is not null and _y is not null")
     if learn is not None:
         known = known.where(learn)
-    known = known.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    known = drawn(known.groupBy("_id").agg(F.min("_y").alias("_y")), ["_id"], max_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")) \
         .join(F.broadcast(known), "_id")  # max_rows ids and numbers at most
     table = stored(_stats_of(rows, "_text"), "statistics")
