@@ -232,7 +232,7 @@ def _ranking(spark, sf):
 @query("PR12_stable_filter", with_sql("long") + _RANKING + ' SELECT * FROM ranking WHERE "Stability Index" >= 0.4::DOUBLE',
        "Average Ranking, Stability Index")
 def _(spark, sf):
-    return _ranking(spark, sf).filter(F.col("Stability Index") >= S.STABILITY)
+    return S.stable_features(_ranking(spark, sf))
 
 
 @query("PR13_positive_filter", with_sql("cohort") + ' SELECT "Record", "Pr02" AS value FROM cohort WHERE "Pr02" > 0', "value")
@@ -496,8 +496,7 @@ def _(spark, sf):
 def _(spark, sf):
     curve = B.table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("Number of Features")).agg(
         F.avg("l_discount").alias("Score"))
-    best = curve.agg(F.min("Score")).first()[0]
-    return curve.filter(F.col("Score") <= 1.05 * best).agg(F.min("Number of Features").alias("n"))
+    return S.sizes_within_tolerance(curve)
 
 
 # ---- splits -------------------------------------------------------------------------------------
