@@ -247,13 +247,15 @@ def test_plan_covers_the_histogram():
 
 # ---- line deduplication ----------------------------------------------------------------------------------------------
 def sim_of(line):
-    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in line.split()]
+    words = list(dict.fromkeys(line.split()))
+    long = [w for w in words if len(w) >= 5]
+    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in (long if len(long) >= 5 else words)]
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
 def test_line_simhash_equals_brute_force(spark):
     rng = random.Random(1)
-    words = [f"w{i}" for i in range(500)]
+    words = [f"word{i}" if i % 7 else f"w{i}" for i in range(9000)]
     given = [" ".join(rng.choices(words, k=k)) for k in (1, 2, 5, 60, 126, 127, 128, 254, 255, 1000, 5000) for _ in range(5)]
     df = spark.createDataFrame(list(enumerate(given)), "row long, text string")
     got = {r.row: r.sim & (2**64 - 1) for r in lines.occurrences(df).collect()}
@@ -282,21 +284,34 @@ def lines_by_hand(given):
                 at.setdefault(n, (d, p))
                 count[n] = count.get(n, 0) + 1
     sim = {n: sim_of(n) for n in at}
-    order = {n: (-int(np.log2(count[n])), n) for n in at}
+    total, top, found = {}, {}, set()
+    for n in at:
+        total[sim[n]] = total.get(sim[n], 0) + count[n]
+        top.setdefault(sim[n], []).append(n)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    for x, same in top.items():
+        same.sort(key=lambda n: -count[n])
+        assert len(same) < 3 or count[same[0]] > count[same[1]]  # else the least hash leads
+        found |= {(same[0], n) for n in same[1:]}
+    order = {x: (-int(np.log2(total[x])), signed(x)) for x in top}
     edges = (0, 13, 26, 39, 52, 64)
     block = [((1 << b) - 1) & ~((1 << a) - 1) for a, b in zip(edges, edges[1:])]
-    found = set()
     for i in range(5):
         for j in range(i + 1, 5):
             buckets = {}
-            for n in at:
-                buckets.setdefault(sim[n] & (block[i] | block[j]), []).append(n)
+            for x in top:
+                buckets.setdefault(x & (block[i] | block[j]), []).append(x)
             for b in buckets.values():
+                turn = 0
                 while len(b) > 1:
+                    turn += 1
+                    if turn >= 3 and len(b) <= 128:
+                        found |= {(top[x][0], top[y][0]) for x in b for y in b if x < y and (x ^ y).bit_count() <= 3}
+                        break
                     lead = min(b, key=order.get)
-                    near = [n for n in b if n != lead and (sim[n] ^ sim[lead]).bit_count() <= 3]
-                    found |= {(lead, n) for n in near}
-                    b = [n for n in b if n != lead and n not in near]
+                    near = [x for x in b if x != lead and (x ^ lead).bit_count() <= 3]
+                    found |= {(top[lead][0], top[x][0]) for x in near}
+                    b = [x for x in b if x != lead and x not in near]
     names = sorted(at)
     place = {n: i for i, n in enumerate(names)}
     ok = [(place[a], place[b]) for a, b in found if distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)]
