@@ -92,6 +92,6 @@ def op9(spark, sf):
 
 @_query("op10_lines")
 def op10(spark, sf):
-    return lines.dedup(_table(spark, sf, "documents").select("doc_id", "text")).select(
+    return lines.dedup(_table(spark, sf, "documents").select("doc_id", "text"), every=True).select(
         "doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
