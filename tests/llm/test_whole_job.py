@@ -54,3 +54,15 @@ def test_lines_with_one_changed_word_are_found(spark):
         line[rng.randrange(n)] = rng.choice(stock)
         given.append(" ".join(line))
     assert kept(spark, given, every=True) == firsts(given)
+
+
+def test_lines_of_long_words_are_found(spark):
+    """One long word of 12 to 30 words changed, half of them long: weighs twice where long words alone are hashed."""
+    rng = random.Random(2)
+    stock, given = words(rng), []
+    for n in (12, 20, 30) * 10:
+        line = [rng.choice([w for w in stock[:600] if (len(w) >= 5) == (i % 2 == 0)]) for i in range(n)]
+        given.append(" ".join(line))
+        line[rng.randrange(n // 2) * 2] = rng.choice([w for w in stock if len(w) >= 5])
+        given.append(" ".join(line))
+    assert kept(spark, given, every=True) == firsts(given)
