@@ -66,3 +66,12 @@ def test_lines_of_long_words_are_found(spark):
         line[rng.randrange(n // 2) * 2] = rng.choice([w for w in stock if len(w) >= 5])
         given.append(" ".join(line))
     assert kept(spark, given, every=True) == firsts(given)
+
+
+def test_lines_unlike_the_leader_meet_each_other(spark):
+    """Lines of the same eight long words; the most frequent has other short ones, so only the rest are alike."""
+    rng = random.Random(3)
+    long = " ".join("".join(rng.choices("abcdefghijklmnopqrst", k=6)) for _ in range(8))
+    tails = [" ".join(rng.choices(["a1", "b2", "c3", "d4", "e5", "f6", "g7"], k=30)) for _ in range(4)]
+    given = [f"{long} {tails[0]}"] * 3 + [f"{long} {t} {x}" for t in tails[1:] for x in ("u1", "v2", "w3")]
+    assert kept(spark, given, every=True) == firsts(given)
