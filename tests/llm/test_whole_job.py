@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from kohorta.llm import lines
 
 
@@ -75,3 +76,28 @@ def test_lines_unlike_the_leader_meet_each_other(spark):
     tails = [" ".join(rng.choices(["a1", "b2", "c3", "d4", "e5", "f6", "g7"], k=30)) for _ in range(4)]
     given = [f"{long} {tails[0]}"] * 3 + [f"{long} {t} {x}" for t in tails[1:] for x in ("u1", "v2", "w3")]
     assert kept(spark, given, every=True) == firsts(given)
+
+
+def jaccard(a, b, width=5):
+    a, b = ({tuple(w[i: i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_equals_all_pairs(spark):
+    """Copies of 60 to 200 words with some words changed: similarities around 0.8 and far more than 2 bits apart."""
+    rng = random.Random(4)
+    stock, given = words(rng), []
+    for n in (60, 120, 200) * 10:
+        doc = rng.choices(stock, k=n)
+        given.append(" ".join(doc))
+        for changes in rng.sample(range(1, 8), 3):
+            copy = list(doc)
+            for _ in range(changes):
+                copy[rng.randrange(n)] = rng.choice(stock)
+            given.append(" ".join(copy))
+    given += [given[0], "", "one two", "one two"]
+    linked = [(a, b) for a in range(len(given)) for b in range(a) if jaccard(given[a], given[b]) >= 0.8]
+    want = [i for i, x in enumerate(labels(len(given), linked)) if x == i]
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == want
+    assert len(want) < len(given) - 25
