@@ -217,18 +217,18 @@ def _xy(spark, sf, features=FEATS):
 @query("FS1_rfe")
 def _(spark, sf):
     table = models.training_table(_xy(spark, sf))
-    ranking, _curve = select.rfe_path(table, len(FEATS), 42, 3, trees=10, depth=5)
+    ranking, _curve = select.rfe_path(table, len(FEATS), 42, 3)
     return spark.createDataFrame(list(zip(FEATS, ranking)), "Feature string, rank int")
 
 
 @query("FS2_rfe_stability")
 def _(spark, sf):
-    return select.rfe_stability(models.training_table(_xy(spark, sf)), FEATS, 4, split.seeds(2), trees=5, depth=5)
+    return select.rfe_stability(models.training_table(_xy(spark, sf)), FEATS, 4, split.seeds(10))
 
 
 @query("FS3_PD8_rfe_curve")
 def _(spark, sf):
-    return select.rfe_curve(_xy(spark, sf), len(FEATS), trees=10, depth=5)
+    return select.rfe_curve(_xy(spark, sf), len(FEATS))
 
 
 def _psi(n: str) -> str:
@@ -273,7 +273,7 @@ def _(spark, sf):
 
 @query("FS5_rf_importance")
 def _(spark, sf):
-    return select.rf_importance(models.training_table(_xy(spark, sf)), FEATS, split.seeds(2), trees=10, depth=5)
+    return select.rf_importance(models.training_table(_xy(spark, sf)), FEATS, split.seeds(10))
 
 
 @query("FS6_lasso")
@@ -304,7 +304,7 @@ def _(spark, sf):
 
 @query("FS9_select_features")
 def _(spark, sf):
-    out = select.select_features(_complete(spark, sf), FEATS, n_executions=1, trees=5, depth=5)
+    out = select.select_features(_complete(spark, sf), FEATS)
     return out["features_to_use"]
 
 
@@ -344,42 +344,35 @@ for _key, _model in (("ML1", "RandomForest"), ("ML2", "DecisionTree"), ("ML3", "
 
 @query("HP1_random_search")
 def _(spark, sf):
-    best = search.random_search("DecisionTree", _xy(spark, sf), {"maxDepth": search.Range(2, 6)}, n=3, k=3)
+    best = search.random_search("DecisionTree", _xy(spark, sf), {"maxDepth": search.Range(2, 6)})
     return spark.createDataFrame([(k, str(v)) for k, v in best.items()], "parameter string, value string")
 
 
 @query("HP2_swarm_search")
 def _(spark, sf):
     ranges = {"maxDepth": search.Range(2, 5), "impurity": search.Choice("gini", "entropy")}
-    best = search.swarm_search("DecisionTree", _xy(spark, sf), ranges, swarm=3, iterations=2, k=3)
+    best = search.swarm_search("DecisionTree", _xy(spark, sf), ranges)
     return spark.createDataFrame([(k, str(v)) for k, v in best.items()], "parameter string, value string")
 
 
-_LIGHT = {"DecisionTree": {"maxDepth": 4}, "RandomForest": {"numTrees": 10, "maxDepth": 4}}
-
-
 @query("EV1_train_all")
 def _(spark, sf):
-    return evaluate.train_all(B.wide_vectors(spark, sf), ["KNearestNeighbor", "DecisionTree"], params=_LIGHT,
-                              leave_one_out_folds=3)["metrics"]
+    return evaluate.train_all(B.wide_vectors(spark, sf), ["KNearestNeighbor", "DecisionTree"])["metrics"]
 
 
 @query("EV4_repeat_executions")
 def _(spark, sf):
-    return evaluate.repeat_executions(_complete(spark, sf), ["DecisionTree", "RandomForest"], 2, params=_LIGHT,
-                                      with_loo=False)["metrics"]
+    return evaluate.repeat_executions(_complete(spark, sf), ["DecisionTree", "RandomForest"])["metrics"]
 
 
 @query("EV5_cv_roc")
 def _(spark, sf):
-    return evaluate.cv_roc(_xy(spark, sf), ["DecisionTree"], k=3, params=_LIGHT)[1]
+    return evaluate.cv_roc(_xy(spark, sf), ["DecisionTree"])[1]
 
 
 @query("WF_run_study")
 def _(spark, sf):
-    tables = run_study(B.cohort(spark, sf), ["DecisionTree", "KNearestNeighbor"],
-                       selection={"n_executions": 1, "trees": 3, "depth": 5},
-                       training={"n_executions": 2, "params": _LIGHT, "leave_one_out_folds": 2})
+    tables = run_study(B.cohort(spark, sf), ["DecisionTree", "KNearestNeighbor"])
     return tables["metrics_aggregated"]
 
 
