@@ -3,11 +3,14 @@
 Equal vectors are collapsed first and counted. A neighbour graph starts from blocks of vectors that are neighbours in the
 order of random hyperplane codes, and is refined: at every node, its neighbours and the nodes that have it as neighbour
 are compared with each other, and better pairs enter the lists. Lists whose last entry still passes the threshold are
-saturated; their capacity is doubled in the next round. Edges of cosine >= the threshold make components. An audit compares
-sampled vectors with all rows; while it finds links that the components miss, refinement goes on.
+saturated; their capacity is doubled in the next round, up to `8 * keep` (entries that pass are kept up to there). Edges of
+cosine >= the threshold make components. An audit compares sampled vectors with all rows; while it finds links that the
+components miss, refinement goes on, for `rounds` rounds at most. Then the vectors of saturated lists, or all vectors if the
+audit still finds links, are compared with every vector of other components, in blocks, and components that have a link
+are joined.
 
 The links inside a component are then counted exactly: its vectors are compared in blocks of bounded size, and tasks
-return sums, never pairs. So a list's capacity limits the search, but not the result.
+return sums, never pairs.
 
 Defined cases: see `vectors.usable` for vectors that take no part: they link with nothing and are their own component;
 equal vectors link with each other; ids that repeat are different vectors; the component of a null id is the smallest id
@@ -107,6 +110,14 @@ def _lists(pairs: DataFrame, caps: DataFrame | None, keep: int) -> DataFrame:
     return ranked.join(caps, "node", "left").where(F.col("r") <= F.coalesce("cap", F.lit(keep))).drop("cap")
 
 
+def _capacities(graph: DataFrame, threshold: float, keep: int) -> DataFrame:
+    """(node, low, cap) of nodes of at least `keep` entries that pass: twice as many if the last one passes, else these."""
+    passes = F.count_if(F.col("sim") >= threshold)
+    return graph.groupBy("node").agg(F.min("sim").alias("low"), passes.alias("n")).where(F.col("n") >= keep) \
+        .select("node", "low", F.least(F.when(F.col("low") >= threshold, 2 * F.col("n")).otherwise(F.col("n")),
+                                       F.lit(8 * keep)).alias("cap"))
+
+
 def _refined(graph: DataFrame, v: DataFrame, kind, keep: int) -> DataFrame:
     """Better pairs among the neighbours and reverse neighbours of every node."""
     back = graph.withColumn("q", F.row_number().over(Window.partitionBy("nbr").orderBy(F.desc("sim"), "node"))) \
@@ -156,6 +167,36 @@ def _missed(v: DataFrame, parts: DataFrame, kind, threshold: float, sample: int)
     return r[0] or 0, r[1] or 0
 
 
+def _joined(v: DataFrame, parts: DataFrame, some: DataFrame | None, kind, threshold: float, block: int) -> DataFrame:
+    """(node, nbr): pairs of components between which there is a link of a vector in `some` (default: any), by all pairs."""
+    label = v.join(parts.withColumnRenamed("component", "part"), "node", "left") \
+        .select("node", "x", F.coalesce("part", "node").alias("part"))
+    label = stored(label, "labels")
+    own = label if some is None else label.join(some.select("node"), "node", "left_semi")
+    nx, ny = (max(1, -(-df.count() // block)) for df in (own, label))
+
+    def dealt(df, n, others, mine):
+        b = F.pmod(F.xxhash64("node", F.lit(9)), F.lit(n))
+        o = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        return df.select("x", "part", b.alias("b"), o.alias("o")) \
+            .select(((F.col("b") * ny + F.col("o")) if mine else (F.col("o") * ny + F.col("b"))).cast("long").alias("g"),
+                    F.lit(mine).alias("mine"), "x", "part")
+
+    def find(batches):
+        for g in _groups(batches, "g"):
+            mine, part, x = g.column("mine").to_numpy(zero_copy_only=False), g.column("part").to_numpy(), _stack(g.column("x"), kind)
+            p, y, q = part[mine], x[~mine], part[~mine]
+            pairs = set()
+            for a in range(0, len(p), 256):
+                i, j = np.nonzero((x[mine][a: a + 256] @ y.T >= threshold) & (p[a: a + 256, None] != q))
+                pairs |= set(zip(p[a: a + 256][i].tolist(), q[j].tolist()))
+            both = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+            yield _batch(both[:, 0], both[:, 1], np.ones(len(both)))
+
+    return dealt(own, nx, ny, True).union(dealt(label, ny, nx, False)).repartition("g").sortWithinPartitions("g") \
+        .mapInArrow(find, PAIRS).select("node", "nbr").distinct()
+
+
 def _counted(v: DataFrame, parts: DataFrame, kind, threshold: float, block: int) -> DataFrame:
     """(node, links): exact numbers of linked rows within each component, from blocks of at most about `block` vectors."""
     sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -206,9 +247,7 @@ def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     graph, caps = stored(_lists(_start(v, n, dim, kind, keep, tables, seed), None, keep), "graph"), None
     parts = None
     for done in range(rounds):
-        full = graph.groupBy("node").agg(F.count("*").alias("n"), F.min("sim").alias("low"))
-        caps = full.where((F.col("low") >= threshold) & (F.col("n") >= keep)) \
-            .select("node", F.least(2 * F.col("n"), F.lit(8 * keep)).alias("cap"))
+        caps = _capacities(graph, threshold, keep)
         old = graph
         graph = stored(_lists(graph.select("node", "nbr", "sim").union(_refined(graph, v, kind, keep)), caps, keep), "graph")
         discard(old)
@@ -218,6 +257,11 @@ def near_duplicates(df: DataFrame, *, id_col: str = "vec_id", vector_col: str =
         bad, total = _missed(v, parts, kind, threshold, audit)
         if done >= 1 and not bad:
             break
+    full = stored(_capacities(graph, threshold, keep).where(F.col("low") >= threshold).select("node"), "full")
+    if bad or full.limit(1).count():
+        across = stored(_joined(v, parts, None if bad else full, kind, threshold, 8 * block), "across")
+        tree = parts.select("node", F.col("component").alias("nbr"))
+        parts = stored(components(tree.union(across), "node", "nbr"), "parts")
     inner = _counted(v, parts, kind, threshold, block)
     named = v.join(parts, "node", "left").select("node", "m", "least", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))

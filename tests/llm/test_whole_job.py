@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from kohorta.llm import lines
+from kohorta.llm import descent, lines
 
 
 def distance(a, b):
@@ -101,3 +103,20 @@ def test_near_dedup_equals_all_pairs(spark):
     df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == want
     assert len(want) < len(given) - 25
+
+
+def test_saturated_groups_are_joined(spark):
+    """Two groups of 150 vectors, closer inside (above 0.99) than across (0.90 to 0.92): lists hold 80 at most."""
+    rng = np.random.default_rng(1)
+    a = np.zeros(16)
+    a[0] = 1
+    b = np.zeros(16)
+    b[0], b[1] = 0.91, np.sqrt(1 - 0.91 ** 2)
+    x = np.concatenate([c + rng.normal(size=(150, 16)) * 0.01 for c in (a, b)]).astype(np.float32)
+    u = x.astype(np.float64) / np.sqrt((x.astype(np.float64) ** 2).sum(axis=1, keepdims=True))
+    hit = u @ u.T >= 0.9
+    np.fill_diagonal(hit, False)
+    assert hit[:150, 150:].sum() > 100
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.component_id, r.n_links) for r in descent.near_duplicates(df, audit=1, rounds=2).collect()}
+    assert got == {i: (0, int(hit[i].sum())) for i in range(300)}
