@@ -3,28 +3,21 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator, Sequence
+import functools
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    RandomForestClassifier,
-)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.columns import encode_label, feature_columns
-from ..session import materialise
+from ..functions.formulas import uniform
+from ..session import discard, materialise
 from .neighbours import knn_predict
+from .stats import poisson_weight
+from .svm import fit_machine, margin_column
+from .trees import Binned, Boost, Forest, Plan, Rules, bin_table, boost_models, forest_plans, grow_forests, score_column
 
 Predict = Callable[[DataFrame], DataFrame]
 
@@ -46,84 +39,95 @@ def training_table(df: DataFrame, key: str = "Record") -> DataFrame:
     return materialise(df.repartition(n, key), "training")
 
 
-# ---- tree families and linear models ------------------------------------------------------------
+# ---- trees --------------------------------------------------------------------------------------
 
-def _with_score(model, df: DataFrame) -> DataFrame:
-    out = model.transform(df).withColumn("score", vector_to_array("probability")[1]).withColumn(
-        "Predicted", F.col("prediction").cast("int"))
-    return out.select(*df.columns, "score", "Predicted")
+#: Names of a parameter: the first is the one to use.
+_NAMES = {"n_estimators": ("numTrees", "maxIter"), "max_depth": ("maxDepth",), "criterion": ("impurity",),
+          "max_features": ("featureSubsetStrategy",), "learning_rate": ("stepSize",)}
 
+#: Defaults of the tree families. Bagging looks at every feature in every node.
+_FORESTS = {"RandomForest": {"n_estimators": 100, "max_features": "sqrt", "bootstrap": True},
+            "DecisionTree": {"n_estimators": 1, "max_features": "all", "bootstrap": False},
+            "Bagging": {"n_estimators": 10, "max_features": "all", "bootstrap": True}}
+_BOOSTED = {"GradientBoosting": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3, "loss": "log_loss"},
+            "XGBoost": {"n_estimators": 100, "learning_rate": 0.3, "max_depth": 6, "reg_lambda": 1.0, "min_child_weight": 1.0},
+            "LightGBM": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 60, "num_leaves": 31, "min_child_weight": 1e-3},
+            "AdaBoost": {"n_estimators": 50, "learning_rate": 1.0, "max_depth": 1, "loss": "samme"}}
 
-def _ml(estimator: Callable[..., object], **defaults) -> Callable:
+
+def is_tree(name: str, params: dict | None = None) -> bool:
+    """Whether a model is a set of trees, so that any number of its fits grow together."""
+    return name in _FORESTS and (params or {}).get("base", "DecisionTree") == "DecisionTree" or name in _BOOSTED
+
+
+def tree_job(name: str, params: dict | None, seed: int, d: int, member: int | None = None) -> list[Plan] | Boost:
+    """What is to be grown for one fit of a tree family over `d` features."""
+    given = params or {}
+    known = {**(_FORESTS.get(name) or _BOOSTED[name])}
+    for p, value in given.items():
+        known[next((k for k, other in _NAMES.items() if p in other), p)] = value
+    depth = int(known.get("max_depth", 10))
+    if depth < 0:
+        raise ValueError(f"max_depth {depth} is below zero")
+    if name in _FORESTS:
+        rules = Rules(known.get("criterion", "gini"), depth, known["max_features"] or "all", known.get("splitter", "best"),
+                      float(known.get("min_samples_leaf", 1)))
+        return forest_plans(int(known["n_estimators"]), seed, rules, range(d), member, known["bootstrap"])
+    loss = {"log_loss": "log"}.get(known.get("loss", "log_loss"), known.get("loss"))
+    rules = Rules("gini" if loss == "samme" else "newton", depth, known.get("max_features") or "all", "best",
+                  float(known.get("min_child_weight", 0.0 if loss == "samme" else 1e-3)), float(known.get("reg_lambda", 0.0)),
+                  float(known.get("gamma", 0.0)), known.get("num_leaves") and int(known["num_leaves"]))
+    return Boost(rules, int(known["n_estimators"]), float(known["learning_rate"]), loss, float(known.get("top_rate", 1.0)),
+                 float(known.get("other_rate", 0.0)), member, seed)
+
+
+def grow_jobs(binned: Binned, jobs: Sequence[list[Plan] | Boost]) -> list[Forest]:
+    """The ensembles of all jobs, in order; forests grow in one go, boosted ones side by side."""
+    forests = grow_forests(binned, [j for j in jobs if not isinstance(j, Boost)])
+    boosted = boost_models(binned, [j for j in jobs if isinstance(j, Boost)]) if any(isinstance(j, Boost) for j in jobs) else []
+    forests, boosted = iter(forests), iter(boosted)
+    return [next(boosted if isinstance(j, Boost) else forests) for j in jobs]
+
+
+def id_column(train: DataFrame) -> str:
+    return next(c for c in train.columns if c not in ("label", "features"))
+
+
+def with_predictions(df: DataFrame, model: Forest) -> DataFrame:
+    return df.withColumn("score", score_column(model, df.sparkSession)).withColumn("Predicted", predicted_label("score"))
+
+
+def predicted_label(score: str) -> Column:
+    return (F.round(F.col(score), 9) > 0.5).cast("int")
+
+
+def _trees(name: str) -> Callable:
     def fit(train: DataFrame, params: dict, seed: int) -> Predict:
-        settings = {**defaults, **params}
-        settings["seed"] = seed
-        model = estimator(labelCol="label", featuresCol="features", **settings).fit(train)
-        return lambda df: _with_score(model, df)
+        binned = bin_table(train, id_column(train))
+        model = grow_jobs(binned, [tree_job(name, params, seed, binned.d)])[0]
+        discard(binned.table)
+        return lambda df: with_predictions(df, model)
     return fit
 
 
-# ---- boosted stumps -----------------------------------------------------------------------------
-
-@dataclass
-class Stump:
-    feature: int
-    threshold: float
-    left: int
-    right: int
-
-    def vote(self, v: Column) -> Column:
-        return F.when(F.get(v, F.lit(self.feature)) <= F.lit(self.threshold), self.left).otherwise(self.right)
-
-
-def _root(model) -> Stump:
-    node = model._call_java("rootNode")
-    if node.subtreeDepth() == 0:
-        side = int(node.prediction())
-        return Stump(0, 0.0, side, side)
-    split = node.split()
-    return Stump(split.featureIndex(), split.threshold(), int(node.leftChild().prediction()),
-                 int(node.rightChild().prediction()))
-
-
-STORED_EVERY = 8
-
-
-def fit_adaboost(train: DataFrame, params: dict, seed: int) -> Predict:
-    """SAMME with weighted depth-one trees. A row's log weight is a column: every `STORED_EVERY` rounds it is written, in
-    between it is the stored value and a short expression over the latest stumps."""
-    rounds, rate = int(params.get("n_estimators", 50)), float(params.get("learning_rate", 1.0))
-    base = materialise(train.select("label", "features", vector_to_array("features").alias("v"), F.lit(0.0).alias("log_w")),
-                       "adaboost")
-    members: list[tuple[float, Stump]] = []
-    log_w = F.col("log_w")
-    for r in range(rounds):
-        weighted = base.withColumn("w", F.exp(log_w))
-        tree = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=seed + r, labelCol="label", featuresCol="features")
-        stump = _root(tree.fit(weighted))
-        missed = stump.vote(F.col("v")) != F.col("label")
-        error = weighted.agg(F.sum(F.when(missed, F.col("w")).otherwise(0.0)) / F.sum("w")).first()[0]
-        if error <= 0.0:
-            members = [(1.0, stump)]
-            break
-        if error >= 0.5:
-            break
-        alpha = rate * math.log((1.0 - error) / error)
-        members.append((alpha, stump))
-        log_w = log_w + F.when(missed, F.lit(alpha)).otherwise(0.0)
-        if len(members) % STORED_EVERY == 0:
-            base, log_w = materialise(base.withColumn("log_w", log_w), "adaboost"), F.col("log_w")
-    if not members:
-        members = [(1.0, stump)]
-    total = sum(a for a, _ in members)
+def fit_bagging(train: DataFrame, params: dict, seed: int) -> Predict:
+    """Votes of `n_estimators` members, each fitted on rows repeated as often as a Poisson draw says. `base` names any
+    registered model (its parameters in `base_params`); trees grow together."""
+    base = params.get("base", "DecisionTree")
+    if base == "DecisionTree":
+        return _trees("Bagging")(train, {k: v for k, v in params.items() if k != "base"}, seed)
+    id = id_column(train)
+    members = []
+    for i in range(int(params.get("n_estimators", 10))):
+        times = poisson_weight(uniform(F.col(id), f"{seed}:{i}"))
+        rows = train.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(20)))).where(F.col("_i") <= times)
+        rows = rows.withColumn(id, F.concat_ws(":", F.col(id).cast("string"), F.col("_i").cast("string"))).drop("_i")
+        members.append(fit_model(base, materialise(rows, "bag"), params.get("base_params"), seed + i))
 
     def predict(df: DataFrame) -> DataFrame:
-        v = vector_to_array("features")
-        share = F.lit(0.0)
-        for alpha, s in members:
-            share = share + F.when(s.vote(F.col("_v")) == 1, F.lit(alpha / total)).otherwise(0.0)
-        out = df.withColumn("_v", v).withColumn("score", share).drop("_v")
-        return out.withColumn("Predicted", F.when(F.col("score") > 0.5, 1).otherwise(0))
+        votes = [m(df.withColumn(id, F.col(id).cast("string"))).select(F.col(id).alias("_id"), "score") for m in members]
+        mean = functools.reduce(DataFrame.unionByName, votes).groupBy("_id").agg(F.avg("score").alias("score"))
+        return df.join(mean, F.col(id).cast("string") == F.col("_id")).drop("_id").withColumn("Predicted", predicted_label("score"))
     return predict
 
 
@@ -142,54 +146,17 @@ def fit_knn(train: DataFrame, params: dict, seed: int) -> Predict:
     return predict
 
 
-# ---- kernel machine by random Fourier features --------------------------------------------------
-
-def _fourier(dim: int, size: int, gamma: float, seed: int):
-    rng = np.random.default_rng(seed)
-    w = rng.normal(scale=math.sqrt(2.0 * gamma), size=(dim, size))
-    b = rng.uniform(0.0, 2.0 * math.pi, size=size)
-
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def mapped(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for v in parts:
-            z = np.sqrt(2.0 / size) * np.cos(np.stack(v.to_numpy()) @ w + b) if len(v) else np.empty((0, size))
-            yield pd.Series(list(z))
-    return mapped
-
+# ---- kernel machines ----------------------------------------------------------------------------
 
 def fit_svm(train: DataFrame, params: dict, seed: int) -> Predict:
-    """Margin classifier: `linear`, or `rbf` through random Fourier features; margins go through a logistic fit."""
-    kernel = params.get("kernel", "rbf")
-    if kernel not in ("linear", "rbf"):
-        raise ValueError(f"kernel {kernel} is not supported; linear or rbf")
-    stats = train.select(F.posexplode(vector_to_array("features")).alias("i", "x")).agg(
-        (F.max("i") + 1).alias("d"), F.var_pop("x").alias("v"), F.count_if(F.col("i") == 0).alias("n")).first()
-    mapped = None
-    if kernel == "rbf":
-        gamma = float(params.get("gamma") or 1.0 / (stats["d"] * (stats["v"] or 1.0)))
-        mapped = _fourier(stats["d"], int(params.get("n_features", 256)), gamma, seed)
-
-    def mapping(df: DataFrame) -> DataFrame:
-        v = F.col("features") if mapped is None else array_to_vector(mapped(vector_to_array("features")))
-        return df.withColumn("_z", v)
-
-    table = mapping(train.select("label", "features")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        reg = 1.0 / (float(params.get("C", 1.0)) * max(1, stats["n"]))
-        svc = LinearSVC(featuresCol="_z", labelCol="label", regParam=reg, maxIter=int(params.get("max_iter", 50)),
-                        standardization=False).fit(table)
-        margin = svc.transform(table).select(
-            "label", array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("features"))
-        logistic = LogisticRegression(maxIter=50).fit(margin)
-    finally:
-        table.unpersist()
-    a, b = float(logistic.coefficients[0]), float(logistic.intercept)
+    """Margin classifier with a linear, rbf, poly or sigmoid kernel; the class is the margin's sign, the score its probability."""
+    machine = fit_machine(train, id_column(train), params, seed)
 
     def predict(df: DataFrame) -> DataFrame:
-        out = svc.transform(mapping(df)).withColumn("_m", vector_to_array("rawPrediction")[1])
-        out = out.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * F.col("_m") + F.lit(b)))))
-        return out.withColumn("Predicted", F.when(F.col("_m") > 0, 1).otherwise(0)).select(
-            *df.columns, "score", "Predicted")
+        out = df.withColumn("_m", margin_column(machine))
+        odds = F.lit(machine.slope) * F.col("_m") + F.lit(machine.offset)
+        return out.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))).withColumn(
+            "Predicted", (F.col("_m") > 0).cast("int")).drop("_m")
     return predict
 
 
@@ -204,22 +171,25 @@ class Model:
     choices: dict[str, list] = field(default_factory=dict)  # categorical parameters the search may index
 
 
-_TREE_CHOICES = {"impurity": ["gini", "entropy"], "featureSubsetStrategy": ["sqrt", "log2"]}
-
-MODELS = {m.name: m for m in (
-    Model("AdaBoost", "ADA", fit_adaboost),
-    Model("KNearestNeighbor", "KNN", fit_knn, seeded=False, choices={
-        "weights": ["uniform", "distance"], "metric": ["manhattan", "euclidean", "minkowski"]}),
-    Model("SupportVectorMachine", "SVM", fit_svm, choices={"kernel": ["linear", "rbf"]}),
-    # bagging = a forest that tries every feature at every split
-    Model("Bagging", "BAG", _ml(RandomForestClassifier, numTrees=10, featureSubsetStrategy="all", maxDepth=10)),
-    Model("RandomForest", "RF", _ml(RandomForestClassifier, numTrees=100, featureSubsetStrategy="sqrt", maxDepth=10),
-          choices=_TREE_CHOICES),
-    Model("GradientBoosting", "GB", _ml(GBTClassifier, maxIter=100, stepSize=0.1, maxDepth=3)),
-    # boosted-tree presets with the depth and step of the other two engines
-    Model("XGBoost", "XGB", _ml(GBTClassifier, maxIter=100, stepSize=0.3, maxDepth=6)),
-    Model("LightGBM", "LGB", _ml(GBTClassifier, maxIter=100, stepSize=0.1, maxDepth=5, maxBins=255)),
-    Model("DecisionTree", "DT", _ml(DecisionTreeClassifier, maxDepth=10), choices={"impurity": ["gini", "entropy"]}),
+#: Categorical parameters in the order of their indices.
+CHOICES = {
+    "KNearestNeighbor": {"weights": ["uniform", "distance"], "metric": ["manhattan", "euclidean", "minkowski"]},
+    "SupportVectorMachine": {"kernel": ["linear", "rbf", "poly", "sigmoid"]},
+    "RandomForest": {"criterion": ["gini", "entropy"], "max_features": ["sqrt", "log2"]},
+    "GradientBoosting": {"loss": ["exponential", "log_loss"]},
+    "DecisionTree": {"criterion": ["gini", "entropy"], "splitter": ["best", "random"], "max_features": ["sqrt", "log2"]},
+}
+
+MODELS = {name: Model(name, short, fit_, seeded, CHOICES.get(name, {})) for name, short, fit_, seeded in (
+    ("AdaBoost", "ADA", _trees("AdaBoost"), True),
+    ("KNearestNeighbor", "KNN", fit_knn, False),
+    ("SupportVectorMachine", "SVM", fit_svm, True),
+    ("Bagging", "BAG", fit_bagging, True),
+    ("RandomForest", "RF", _trees("RandomForest"), True),
+    ("GradientBoosting", "GB", _trees("GradientBoosting"), True),
+    ("XGBoost", "XGB", _trees("XGBoost"), True),
+    ("LightGBM", "LGB", _trees("LightGBM"), True),
+    ("DecisionTree", "DT", _trees("DecisionTree"), True),
 )}
 
 
@@ -231,3 +201,6 @@ def get_model(name: str) -> Model:
 
 def fit(name: str, train: DataFrame, params: dict | None = None, seed: int = 42) -> Predict:
     return get_model(name).fit(train, params or {}, seed)
+
+
+fit_model = fit
