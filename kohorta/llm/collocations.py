@@ -189,7 +189,7 @@ class _Counter:
         return out
 
 
-def _gathered(batches, limit: int = 1 << 24):
+def _gathered(batches, limit: int = 1 << 23):
     """Batches of about `limit` bytes of chunks."""
     kept, size = [], 0
     for batch in batches:
