@@ -10,9 +10,9 @@ Codebooks are fitted on a bounded sample (`sample` rows of the least id hashes),
 blocks of neighbouring cells, large cells in several blocks; each block meets each chunk of queries in a task of its own
 and returns a short list per query.
 
-Defined cases: see `vectors.usable` for the vectors that take no part; a query is never its own neighbour; equal scores
-are ordered by vec_id; repeated ids are searched like different rows (a row with the query's id is left out); fewer
-candidates than `k` give all of them; other columns are not read; an empty table gives an empty table.
+Defined cases: see `vectors.usable` for the vectors that take no part, those with a null id neither; a query is never its own
+neighbour; equal scores are ordered by vec_id; rows that repeat an id are queries with a list each (a row with the query's id
+is left out), rows that repeat id and vector have one list; fewer candidates than `k` give all of them; other columns are not read; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -121,8 +121,8 @@ def _best(q: np.ndarray, ids: np.ndarray, x: np.ndarray, own: np.ndarray, k: int
     return at[keep], ids[col[keep]], score[keep]
 
 
-def _top(found: DataFrame, k: int) -> DataFrame:
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+def _top(found: DataFrame, k: int, query: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    by = Window.partitionBy(*query).orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
@@ -161,7 +161,7 @@ def search(df: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", vect
     `is_query` is a condition on `id`.
     """
     spark = df.sparkSession
-    rows = stored(usable(df, id_col, vector_col), "vectors")
+    rows = stored(usable(df, id_col, vector_col).where("id is not null").withColumn("key", F.xxhash64("id", "v")), "vectors")
     index = fit(rows, codes=codes)
     if index is None or not (n_queries := rows.where(is_query).count()):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -184,21 +184,22 @@ def search(df: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", vect
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
+                ids, x, names = batch.column(0).to_numpy(), matrix(batch.column(1)), batch.column(2).to_numpy()
                 cell = index.cell(x)
                 salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
                 key = home[cell] + salt % copies[cell] if kind == "block" else salt % chunks
                 order = np.argsort(key, kind="stable")
                 for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(key[part[0]])]), pa.array([len(part)]), pa.array([ids[part].tobytes()]),
+                        [pa.array([int(key[part[0]])]), pa.array([len(part)]),
+                         pa.array([ids[part].tobytes() if kind == "block" else np.stack([ids[part], names[part]], axis=1).tobytes()]),
                          pa.array([cell[part].tobytes() if kind == "block" else visited(x[part])]),
                          pa.array([np.ascontiguousarray(x[part]).tobytes()])], names=[kind, "n", "ids", "cells", "x"])
         return run
 
     shape = " long, n long, ids binary, cells binary, x binary"
-    blocks = stored(rows.select("id", "v").mapInArrow(pack("block"), "block" + shape), "blocks")
-    asked = stored(rows.where(is_query).select("id", "v").mapInArrow(pack("chunk"), "chunk" + shape), "queries")
+    blocks = stored(rows.select("id", "v", "key").mapInArrow(pack("block"), "block" + shape), "blocks")
+    asked = stored(rows.where(is_query).select("id", "v", "key").dropDuplicates(["id", "key"]).mapInArrow(pack("chunk"), "chunk" + shape), "queries")
     numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))
     n_blocks = int((home + copies).max())
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
@@ -213,11 +214,11 @@ def search(df: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", vect
         def done():
             if have[0] and have[1]:
                 (ids, cell, x), (own, bits, q) = ([np.concatenate(v) for v in zip(*h)] for h in have)
-                cell = cell.view(np.int64)
+                cell, (own, name) = cell.view(np.int64), own.reshape(-1, 2).T
                 allowed = np.unpackbits(bits.reshape(len(own), -1), axis=1)[:, cell].astype(bool)
                 at, found, score = _best(q, ids, x, own, k, allowed)
-                yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(found), pa.array(score)],
-                                                 names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(name[at]), pa.array(found), pa.array(score)],
+                                                 names=["query_id", "key", "vec_id", "score"])
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -229,5 +230,5 @@ def search(df: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", vect
         yield from done()
 
     found = a.select(cols).union(b.select(cols)).repartition("block", "chunk") \
-        .sortWithinPartitions("block", "chunk", "side").mapInArrow(meet, "query_id long, vec_id long, score double")
-    return _top(found, k).select("query_id", "rank", "vec_id", "score")
+        .sortWithinPartitions("block", "chunk", "side").mapInArrow(meet, "query_id long, key long, vec_id long, score double")
+    return _top(found, k, ("query_id", "key")).select("query_id", "rank", "vec_id", "score")

@@ -98,6 +98,12 @@ def test_multi_index_small_tables(spark):
     assert multi_index.search(vectors(spark, BAD[:4]), F.lit(True)).count() == 0
 
 
+def test_multi_index_null_and_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (None, [9.0, 9.0]), (1, [2.0, 1.0]), (2, [0.0, 3.0])]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in multi_index.search(vectors(spark, rows), F.col("id") % 20 == 0, k=2).collect())
+    assert got == [(0, 1, 1, 2.0), (0, 1, 2, 3.0), (0, 2, 1, 1.0), (0, 2, 2, 0.0)]
+
+
 def by_hand(x, threshold=0.9):
     u = x / np.linalg.norm(x, axis=1)[:, None]
     s = u @ u.T >= threshold
