@@ -29,7 +29,8 @@ def tokenised(docs: DataFrame, path: str, *, window: int = 1024, end_id: int = 0
               text_col: str = "text") -> DataFrame:
     """Pieces of at most `window` ids: doc_id, start, length, ids_crc32, doc_tokens.
 
-    Ids come from the `tokenizers` file at `path`; each different match of its split pattern is encoded once per worker.
+    Ids come from the `tokenizers` file at `path`; each different match of its split pattern is encoded once per worker. Texts
+    that hold the string of a special token are encoded as a whole.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -37,10 +38,12 @@ def tokenised(docs: DataFrame, path: str, *, window: int = 1024, end_id: int = 0
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True  # such strings in a text are ordinary text
-        model.no_truncation()
-        model.no_padding()
+        model, whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for m in (model, whole):
+            m.no_truncation()
+            m.no_padding()
+        model.encode_special_tokens = True
+        special = [t.content for t in whole.get_added_tokens_decoder().values()]
         seen = Dictionary(lambda new: [x.ids for x in model.encode_batch_fast([p.decode() for p in new],
                                                                               add_special_tokens=False)])
         for batch in batches:
@@ -50,7 +53,10 @@ def tokenised(docs: DataFrame, path: str, *, window: int = 1024, end_id: int = 0
                 ids, counts = seen.ids(raw[lo:hi])
                 at = np.concatenate([[0], np.cumsum(counts)]).tolist()
                 for i in range(hi - lo):
-                    mine = np.append(ids[at[i]: at[i + 1]], np.uint32(end_id)).astype("<u4")
+                    own = ids[at[i]: at[i + 1]]
+                    if any(t in raw[lo + i] for t in special):  # a token's own string is that token
+                        own = np.array(whole.encode(raw[lo + i], add_special_tokens=False).ids, np.uint32)
+                    mine = np.append(own, np.uint32(end_id)).astype("<u4")
                     for s in range(0, len(mine), window):
                         piece = mine[s: s + window]
                         row.append(lo + i)
