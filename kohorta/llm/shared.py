@@ -63,6 +63,14 @@ def drawn(df: DataFrame, keys: list[str], size: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*keys, F.lit(77)), F.lit(thin)) == 0).orderBy(F.xxhash64(*keys), *keys).limit(size)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many marks as no column of `df` has (case doesn't count)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keyed(df: DataFrame, id_col: str, text_col: str, key: str = "_row") -> DataFrame:
     """`df` with a unique long `key` whose order is that of `id_col`.
 

@@ -75,17 +75,16 @@ def test_spans_are_the_places_within_the_bound(seed):
 
 
 def test_scan_of_odd_rows(spark):
-    text = "Released UNDER  the MIT-License; under teh mit licence. GNU General Public License, version 3"
+    text = "Released UNDER  the MIT-License; under th mit licence. GNU General Public License, version 3"
     rows = [(1, text), (1, text), (None, "cc by-nc cc BY/NC"), (3, None), (4, ""), (5, "limit licensed"), (6, "word " * 40_000 + "under the mit license")]
     df = spark.createDataFrame([(i, t, "x", 1, 2.0) for i, t in rows], "doc_id long, text string, spans string, n_words int, score double")
     got = sorted(L.scan(df).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
     assert [r["doc_id"] for r in got] == [1, 1, 3, 4, 5, 6, None]
     first = got[0]["spans"]
-    assert [(s["label"], s["edits"], s["base"]) for s in first] == [("mit", 0, True), ("mit", 2, False), ("gpl-3", 0, False)] or \
-        [(s["label"], s["base"]) for s in first] == [("mit", True), ("mit", False), ("gpl-3", False)]
+    assert [(s["label"], s["edits"], s["base"]) for s in first] == [("mit", 0, True), ("mit", 2, False), ("gpl-3", 0, False)]
     raw = text.encode()
     assert [raw[s["first_byte"]: s["end_byte"]].decode() for s in first] == [
-        "UNDER  the MIT-License", "under teh mit licence", "GNU General Public License, version 3"]
+        "UNDER  the MIT-License", "under th mit licence", "GNU General Public License, version 3"]
     assert got[0]["spans"] == got[1]["spans"] and got[2]["spans"] == [] and got[3]["score"] == 0.0 and got[4]["spans"] == []
     assert got[5]["n_words"] == 40_004 and got[5]["spans"][0]["first_word"] == 40_000
     assert [s["first_word"] for s in got[6]["spans"]] == [0, 3] and got[6]["score"] == 1.0
@@ -150,7 +149,7 @@ def prose(rnd, n, words="the of a new york city state le la été x y z"):
 def test_op12_against_counting(spark, tmp_path):
     rnd = random.Random(2)
     copy = "New York City is the state of New York; " + prose(rnd, 30)
-    rows = [(i, prose(rnd, rnd.randint(0, 200)), rnd.choice(["en", "fr", None])) for i in range(40)]
+    rows = [(i, prose(rnd, rnd.randint(0, 900)), rnd.choice(["en", "fr", None])) for i in range(60)]
     rows += [(100 + i, copy, "en") for i in range(60)] + [(300 + i, t, "de") for i, t in enumerate(ODD)]
     rows += [(400, "again and again " * 3000, "de"), (401, "u" * 50_000, "de"), (100, copy, "en")]
     got = sorted(tuple(r) for r in QUERIES["op12_collocations"](spark, saved(spark, tmp_path, rows)).collect())

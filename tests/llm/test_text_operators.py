@@ -198,7 +198,6 @@ def test_simhash_repeated_null_and_empty(spark):
 # ---- packing ---------------------------------------------------------------------------------------------------------
 def check_packing(rows, given, window=1024):
     model = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     ids = {i: model.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(given)}
     at = {}
     for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
@@ -228,6 +227,11 @@ def test_packing_places_every_id_once(spark, texts):
     assert padded < 0.02 * total
 
 
+def test_packing_reads_special_strings_as_tokens(spark):
+    given = ["a<|endoftext|>b", "<|endoftext|>", "plain text", "x <|endoftext|> " * 900, None]
+    check_packing(packing.pack(frame(spark, given), P.path("byte_bpe_50k.json")).collect(), given)
+
+
 def test_packing_repeated_rows_and_empty_table(spark):
     rows = packing.pack(spark.createDataFrame([(1, "same text")] * 50, "doc_id long, text string"), P.path("byte_bpe_50k.json")).collect()
     assert len(rows) == 50 and len({(r.sequence_id, r.offset) for r in rows}) == 50
@@ -355,6 +359,8 @@ def test_lines_plan_has_no_python(spark):
 
 def test_lines_empty_and_long(spark):
     assert lines.dedup(empty(spark)).count() == 0
+    clash = spark.createDataFrame([(1, "one two\none two", "k", 5, "o")], "doc_id long, text string, __all string, __row int, all__ string")
+    assert tuple(lines.dedup(clash).select("text", "__all", "__row", "all__", "_gone").first()) == ("one two", "k", 5, "o", 1)
     long = "\n".join(["a line of many words " * 2000, "a line of many words " * 2000, "other"])
     r = lines.dedup(frame(spark, [long])).first()
     assert (r._lines, r._gone) == (3, 1)
