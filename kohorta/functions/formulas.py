@@ -119,3 +119,63 @@ def student_tail(t, dof) -> np.ndarray:
 def student_two_sided(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for t, dof in parts:
         yield pd.Series(student_tail(t, dof), index=t.index).where(t.notna())
+
+
+# ---- exact tails of small samples ---------------------------------------------------------------
+
+#: Sizes n1 x n2 up to which the exact distributions are counted.
+EXACT_U, EXACT_GAP = 20_000, 4_000_000
+
+
+def exact_u_tail(n1: int, n2: int, u: float) -> float:
+    """Two-sided tail of the rank-sum statistic without ties: all orders of n1 + n2 values are equally likely.
+
+    The last value belongs to the first sample with chance n1 / (n1 + n2) and then adds n2 to U; so the distribution of each
+    pair of sizes follows from those of the pairs one smaller, by sums of positive terms."""
+    top = int(max(u, n1 * n2 - u))
+    before = [np.ones(1) for _ in range(n2 + 1)]  # sizes (0, j): U is 0
+    for i in range(1, n1 + 1):
+        row = [np.ones(1)]
+        for j in range(1, n2 + 1):
+            p = np.zeros(i * j + 1)
+            p[j: j + len(before[j])] += i / (i + j) * before[j]
+            p[: len(row[-1])] += j / (i + j) * row[-1]
+            row.append(p)
+        before = row
+    return float(min(1.0, 2.0 * before[n2][top:].sum()))
+
+
+def exact_gap_tail(n: int, m: int, d: float) -> float:
+    """Chance that two samples of one continuous distribution differ by a gap of at least d: of all lattice paths from (0, 0)
+    to (n, m), the share that touches |i / n - j / m| >= d, added up where paths touch first."""
+    bound = round(d * n * m - 1e-7 * min(1.0, d * n * m))  # gaps are whole multiples of 1 / (n m)
+    if bound <= 0:
+        return 1.0
+    i = np.arange(n + 1)
+    inside, out = np.zeros(n + 1), 0.0  # by i, on the diagonal i + j = t
+    inside[0] = 1.0
+    for t in range(n + m):
+        j = t - i
+        right = np.where((j >= 0) & (j <= m), (n - i) / (n + m - t), 0.0)
+        step = inside * (1.0 - right)
+        step[1:] += (inside * right)[:-1]
+        j = t + 1 - i
+        touched = (np.abs(i * m - j * n) >= bound) & (j >= 0) & (j <= m)
+        out += float(step[touched].sum())
+        step[touched] = 0.0
+        inside = step
+    return float(min(1.0, out))
+
+
+@F.pandas_udf(DoubleType())
+def exact_u(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for n1, n2, u in parts:
+        yield pd.Series([exact_u_tail(int(min(a, b)), int(max(a, b)), c) if a * b <= EXACT_U else None
+                         for a, b, c in zip(n1, n2, u)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def exact_gap(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for n, m, d in parts:
+        yield pd.Series([exact_gap_tail(int(min(a, b)), int(max(a, b)), c) if a * b <= EXACT_GAP else None
+                         for a, b, c in zip(n, m, d)], dtype="float64")

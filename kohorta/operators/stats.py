@@ -10,15 +10,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import CONTROL, PATHOLOGICAL, feature_columns, unpivot
-from ..functions.formulas import kolmogorov_tail, normal_two_sided, student_two_sided, uniform
+from ..functions.formulas import (EXACT_GAP, EXACT_U, exact_gap, exact_u, kolmogorov_tail, normal_two_sided, student_two_sided,
+                                  uniform)
 from .metrics import METRICS, confusion_aggs, metric_columns
 from .ordered import mid_rank, running
 
 ALPHA = 0.05
 
 
-def mann_whitney(df: DataFrame, features: Sequence[str] | None = None, rows_per_bucket: int | None = None) -> DataFrame:
-    """(Feature, n1, n2, U, z, P-Value): control against pathological, asymptotic with tie and continuity correction.
+#: Rank sums are counted exactly when a sample has so few values, none of them tied.
+FEW = 8
+
+
+def mann_whitney(df: DataFrame, features: Sequence[str] | None = None, rows_per_bucket: int | None = None,
+                 method: str = "auto") -> DataFrame:
+    """(Feature, n1, n2, U, z, P-Value): control against pathological.
+
+    `method` asymptotic: normal tail with tie and continuity correction; exact: counted where there are no ties and n1 x n2
+    is within `EXACT_U`; auto: exact if also one sample has at most `FEW` values.
 
     Rows are reduced to (Feature, value) counts before ranking, so ties cost nothing and a feature of any length is
     ranked range by range. A feature with an empty class is left out.
@@ -42,8 +51,14 @@ def mann_whitney(df: DataFrame, features: Sequence[str] | None = None, rows_per_
     gap = F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5
     z = gap / F.nullif(spread, F.lit(0.0))
     tail = F.when(F.col("gap") <= 0, 1.0).otherwise(normal_two_sided(F.col("z")))
-    return sums.select("Feature", n1.cast("bigint").alias("n1"), n2.cast("bigint").alias("n2"), u.alias("U"),
-                       z.alias("z"), gap.alias("gap")).withColumn("P-Value", tail).drop("gap")
+    small = {"asymptotic": F.lit(False), "exact": F.lit(True), "auto": F.least(n1, n2) <= FEW}[method]
+    counted = small & (F.col("ties") == 0) & (n1 * n2 <= EXACT_U)
+    out = sums.select("Feature", n1.cast("bigint").alias("n1"), n2.cast("bigint").alias("n2"), u.alias("U"),
+                      z.alias("z"), gap.alias("gap"), counted.alias("counted")).withColumn("P-Value", tail)
+    if method != "asymptotic":  # sizes of samples that aren't counted are passed as nothing
+        sizes = [F.when(F.col("counted"), F.col(c)).otherwise(0) for c in ("n1", "n2")]
+        out = out.withColumn("P-Value", F.when(F.col("counted"), exact_u(*sizes, F.col("U"))).otherwise(F.col("P-Value")))
+    return out.drop("gap", "counted")
 
 
 def bonferroni(tests: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -62,10 +77,11 @@ def statistical_selection(df: DataFrame, features: Sequence[str] | None = None,
 
 
 def ks_test(before: DataFrame, after: DataFrame, features: Sequence[str] | None = None, alpha: float = ALPHA,
-            label: str | None = PATHOLOGICAL, rows_per_bucket: int | None = None) -> DataFrame:
+            label: str | None = PATHOLOGICAL, rows_per_bucket: int | None = None, method: str = "auto") -> DataFrame:
     """(Feature, Statistic, P-Value, Significant): largest gap of the two empirical distributions per feature.
 
-    `label` restricts both sides to one class; None compares whole tables.
+    `label` restricts both sides to one class; None compares whole tables. `method` auto: the exact tail where n1 x n2 is within
+    `EXACT_GAP`, else the asymptotic one, which `asymptotic` takes always.
     """
     if features is None:
         features = [c for c in feature_columns(before) if c in after.columns]
@@ -84,6 +100,12 @@ def ks_test(before: DataFrame, after: DataFrame, features: Sequence[str] | None
         F.max(F.abs(F.col("ca") / ta - F.col("cb") / tb)).alias("Statistic"), F.max(ta).alias("ta"),
         F.max(tb).alias("tb"))
     p = kolmogorov_tail(F.col("Statistic"), F.col("ta"), F.col("tb"))
+    if method == "auto":
+        small = F.col("ta") * F.col("tb") <= EXACT_GAP
+        sizes = [F.when(small, F.col(c)).otherwise(0.0) for c in ("ta", "tb")]
+        p = F.when(small, exact_gap(*sizes, F.col("Statistic"))).otherwise(p)
+    elif method != "asymptotic":
+        raise ValueError(f"unknown method {method}")
     return gaps.withColumn("P-Value", p).select(
         "Feature", "Statistic", "P-Value", (F.col("P-Value") < alpha).alias("Significant"))
 

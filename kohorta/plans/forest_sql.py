@@ -7,22 +7,27 @@ import math
 from ..operators.trees import MISSING, POISSON, PRIME
 
 
-def draw_sql(x: str, *salts: str) -> str:
-    """`trees.draw`."""
-    a = f"((x + (s % {PRIME}) * 1000003 % {PRIME} + 1) % {PRIME} * 48271 % {PRIME})"
-    b = f"(({a} * {a} + 69069 * {a} + 7) % {PRIME})"
-    return (f"list_reduce([({x})::BIGINT % {PRIME}, {', '.join(f'({s})::BIGINT' for s in salts)}], "
-            f"lambda x, s: ({b} * {b} + 40692 * {b} + 11) % {PRIME})")
+def draw_sql(source: str, x: str, *salts: str) -> str:
+    """A query of the rows of `source` (a query) with u, the `trees.draw` of x; each step is a query around the last."""
+    q, k = f"SELECT *, ({x})::BIGINT % {PRIME} AS _x0 FROM ({source})", 0
+    for s in salts:
+        for step in (f"({{x}} + (({s})::BIGINT % {PRIME}) * 1000003 % {PRIME} + 1) % {PRIME} * 48271 % {PRIME}",
+                     f"({{x}} * {{x}} + 69069 * {{x}} + 7) % {PRIME}", f"({{x}} * {{x}} + 40692 * {{x}} + 11) % {PRIME}"):
+            q, k = f"SELECT * EXCLUDE (_x{k}), {step.format(x=f'_x{k}')} AS _x{k + 1} FROM ({q})", k + 1
+    return f"SELECT * EXCLUDE (_x{k}), _x{k} AS u FROM ({q})"
+
+
+#: CTEs edges and cells (row, f, bin) of fv (row, f, x).
+EDGES_SQL = f"""edges AS MATERIALIZED (SELECT f, list_distinct(list_transform(quantile_cont(x, [{", ".join(f"{j / MISSING!r}::DOUBLE" for j in range(1, MISSING))}]),
+    lambda e: ROUND(e, 9))) AS e FROM fv GROUP BY f),
+    cells AS MATERIALIZED (SELECT row, f, len(list_filter(e, lambda v: v < x))::INTEGER AS bin FROM fv JOIN edges USING (f))"""
 
 
 def bins_sql(source: str, features: list[str], key: str, label: str, hashed: str) -> str:
-    """CTEs fv (row, f, x), edges, cells (row, f, bin), rows (row, h, y) of `source`, whose features are scaled already."""
-    probs = "[" + ", ".join(f"{j / MISSING!r}::DOUBLE" for j in range(1, MISSING)) + "]"
+    """CTEs fv (row, f, x), edges, cells and rows (row, h, y) of `source`, whose features are scaled already."""
     lists = ", ".join(f'"{c}"' for c in features)
     return f"""fv AS MATERIALIZED (SELECT {key} AS row, UNNEST(range(0, {len(features)}))::INTEGER AS f, UNNEST([{lists}]) AS x FROM {source}),
-    edges AS MATERIALIZED (SELECT f, list_distinct(list_transform(quantile_cont(x, {probs}), lambda e: ROUND(e, 9))) AS e FROM fv GROUP BY f),
-    cells AS MATERIALIZED (SELECT row, f, len(list_filter(e, lambda v: v < x))::INTEGER AS bin FROM fv JOIN edges USING (f)),
-    rows AS MATERIALIZED (SELECT {key} AS row, {hashed} AS h, {label} AS y FROM {source})"""
+    {EDGES_SQL}, rows AS MATERIALIZED (SELECT {key} AS row, {hashed} AS h, {label} AS y FROM {source})"""
 
 
 def _worth(a: str, b: str) -> str:
@@ -38,41 +43,42 @@ def forest_sql(p: str, trees: str, allowed: str, used: str, d: int, depth: int =
     """CTEs that begin with `p`: {p}imp (seed, f, weight), and with `held` {p}score (seed, row, score).
 
     trees: (tree, seed, number); allowed: (seed, f); used and held: (seed, row)."""
-    u = draw_sql("h", "seed", "number", "1")
+    wide = 1 << depth + 2  # a node is its tree times this plus its heap number
     count = "CASE " + " ".join(f"WHEN u < {t} THEN {i}" for i, t in enumerate(POISSON)) + f" ELSE {len(POISSON)} END"
-    weight = f"(SELECT tree, row, y, {count} AS w FROM (SELECT tree, row, y, {u} AS u FROM {trees} JOIN {used} USING (seed) JOIN rows USING (row)))" \
-        if bootstrap else f"(SELECT tree, row, y, 1 AS w FROM {trees} JOIN {used} USING (seed) JOIN rows USING (row))"
-    out = [f"{p}p0 AS MATERIALIZED (SELECT tree, row, y, w, 1::BIGINT AS heap FROM {weight} WHERE w > 0)"]
+    trained = f"SELECT tree, seed, number, row, h, y FROM {trees} JOIN {used} USING (seed) JOIN rows USING (row)"
+    drawn = f"SELECT *, {count} AS w FROM ({draw_sql(trained, 'h', 'seed', 'number', '1')})" if bootstrap else f"SELECT *, 1 AS w FROM ({trained})"
+    out = [f"{p}p0 AS MATERIALIZED (SELECT tree * {wide} + 1 AS node, row, w::BIGINT AS w, (w * y)::BIGINT AS wy FROM ({drawn}) WHERE w > 0)"]
     m = tried_count(d, tried)
+    below = f"(node // {wide}) * {wide} + 2 * (node % {wide}) + CASE WHEN bin <= cut THEN 0 ELSE 1 END AS node"
     for i in range(depth):
-        pick = f"SELECT tree, heap, f FROM (SELECT n.tree, n.heap, f FROM {p}n{i} n JOIN {trees} USING (tree) JOIN {allowed} USING (seed) WHERE n.open" + (
-            "" if m == d else f" QUALIFY ROW_NUMBER() OVER (PARTITION BY n.tree, n.heap ORDER BY "
-            f"{draw_sql(f'(n.heap % {PRIME}) * 65537 + f', 'seed', 'number', '2')}, f) <= {m}") + ")"
+        pairs = f"SELECT node, f, seed, number FROM {p}n{i} n JOIN {trees} t ON t.tree = n.node // {wide} JOIN {allowed} USING (seed) WHERE n.open"
+        pick = f"SELECT node, f FROM ({pairs})" if m == d else (
+            f"SELECT node, f FROM ({draw_sql(pairs, f'(node % {wide} % {PRIME}) * 65537 + f', 'seed', 'number', '2')}) "
+            f"QUALIFY ROW_NUMBER() OVER (PARTITION BY node ORDER BY u, f) <= {m}")
         out += [
-            f"""{p}n{i} AS MATERIALIZED (SELECT tree, heap, SUM(w)::BIGINT AS a, SUM(w * y)::BIGINT AS b,
-    SUM(w * y) > 0 AND SUM(w * y) < SUM(w) AND SUM(w) >= 2 AS open FROM {p}p{i} GROUP BY tree, heap)""",
-            f"""{p}s{i} AS MATERIALIZED (SELECT tree, heap, f, cut, g - {_worth('a', 'b')} AS gain FROM (SELECT c.tree, c.heap, c.f, c.bin AS cut, n.a, n.b,
-    {_worth('c.la', 'c.lb')} + {_worth('(n.a - c.la)', '(n.b - c.lb)')} AS g FROM (SELECT tree, heap, f, bin, SUM(a) OVER w AS la, SUM(b) OVER w AS lb FROM (
-    SELECT tree, heap, f, bin, SUM(w)::BIGINT AS a, SUM(w * y)::BIGINT AS b FROM {p}p{i} JOIN ({pick}) USING (tree, heap) JOIN cells USING (row, f) GROUP BY tree, heap, f, bin)
-    WINDOW w AS (PARTITION BY tree, heap, f ORDER BY bin)) c JOIN {p}n{i} n USING (tree, heap) WHERE n.a - c.la >= 1
-    QUALIFY ROW_NUMBER() OVER (PARTITION BY c.tree, c.heap ORDER BY g DESC, c.f, c.bin) = 1) WHERE g - {_worth('a', 'b')} > 1e-12::DOUBLE)""",
-            f"""{p}p{i + 1} AS MATERIALIZED (SELECT tree, row, y, w, 2 * heap + CASE WHEN bin <= cut THEN 0 ELSE 1 END AS heap FROM {p}p{i}
-    JOIN {p}s{i} USING (tree, heap) JOIN cells USING (row, f))"""]
-    gains = " UNION ALL ".join(f"SELECT tree, f, gain FROM {p}s{i}" for i in range(depth))
-    out += [f"""{p}each AS (SELECT tree, f, SUM(gain) / SUM(SUM(gain)) OVER (PARTITION BY tree) AS w FROM ({gains}) GROUP BY tree, f)""",
+            f"""{p}n{i} AS MATERIALIZED (SELECT node, SUM(w)::BIGINT AS a, SUM(wy)::BIGINT AS b,
+    SUM(wy) > 0 AND SUM(wy) < SUM(w) AND SUM(w) >= 2 AS open FROM {p}p{i} GROUP BY node)""",
+            f"""{p}s{i} AS MATERIALIZED (SELECT node, -(best.f) AS f, -(best.cut) AS cut, best.g - {_worth('a', 'b')} AS gain FROM (
+    SELECT c.node, n.a, n.b, MAX({{'g': {_worth('c.la', 'c.lb')} + {_worth('(n.a - c.la)', '(n.b - c.lb)')}, 'f': -c.f, 'cut': -c.bin}}) AS best FROM (
+    SELECT k // 65536 AS node, k // 64 % 1024 AS f, k % 64 AS bin, SUM(a) OVER w AS la, SUM(b) OVER w AS lb FROM (
+    SELECT (node * 1024 + f) * 64 + bin AS k, SUM(w)::BIGINT AS a, SUM(wy)::BIGINT AS b FROM {p}p{i} JOIN ({pick}) USING (node) JOIN cells USING (row, f) GROUP BY k)
+    WINDOW w AS (PARTITION BY k // 64 ORDER BY k)) c JOIN {p}n{i} n USING (node) WHERE n.a - c.la >= 1 GROUP BY c.node, n.a, n.b)
+    WHERE best.g - {_worth('a', 'b')} > 1e-12::DOUBLE)""",
+            f"{p}p{i + 1} AS MATERIALIZED (SELECT {below}, row, w, wy FROM {p}p{i} JOIN {p}s{i} USING (node) JOIN cells USING (row, f))"]
+    gains = " UNION ALL ".join(f"SELECT node // {wide} AS tree, f, gain FROM {p}s{i}" for i in range(depth))
+    out += [f"{p}each AS (SELECT tree, f, SUM(gain) / SUM(SUM(gain)) OVER (PARTITION BY tree) AS w FROM ({gains}) GROUP BY tree, f)",
             f"""{p}imp AS MATERIALIZED (SELECT seed, f, CASE WHEN t > 0 THEN w / t ELSE 0 END AS weight FROM (SELECT a.seed, a.f, COALESCE(s.w, 0) AS w,
     SUM(COALESCE(s.w, 0)) OVER (PARTITION BY a.seed) AS t FROM {allowed} a LEFT JOIN (SELECT seed, f, SUM(w) AS w FROM {p}each JOIN {trees} USING (tree) GROUP BY seed, f) s
     USING (seed, f)))"""]
     if held:
-        out += [f"""{p}n{depth} AS (SELECT tree, heap, SUM(w)::BIGINT AS a, SUM(w * y)::BIGINT AS b FROM {p}p{depth} GROUP BY tree, heap)""",
-                f"{p}q0 AS MATERIALIZED (SELECT tree, row, 1::BIGINT AS heap FROM {trees} JOIN {held} USING (seed))"]
+        out += [f"{p}n{depth} AS (SELECT node, SUM(w)::BIGINT AS a, SUM(wy)::BIGINT AS b FROM {p}p{depth} GROUP BY node)",
+                f"{p}q0 AS MATERIALIZED (SELECT tree * {wide} + 1 AS node, row FROM {trees} JOIN {held} USING (seed))"]
         ends = []
         for i in range(depth):
-            out.append(f"""{p}q{i + 1} AS MATERIALIZED (SELECT tree, row, 2 * heap + CASE WHEN bin <= cut THEN 0 ELSE 1 END AS heap FROM {p}q{i}
-    JOIN {p}s{i} USING (tree, heap) JOIN cells USING (row, f))""")
-            ends.append(f"SELECT tree, row, b / a::DOUBLE AS v FROM (SELECT * FROM {p}q{i} ANTI JOIN {p}s{i} USING (tree, heap)) JOIN {p}n{i} USING (tree, heap)")
-        ends.append(f"SELECT tree, row, b / a::DOUBLE AS v FROM {p}q{depth} JOIN {p}n{depth} USING (tree, heap)")
-        out.append(f"{p}score AS MATERIALIZED (SELECT seed, row, AVG(v) AS score FROM ({' UNION ALL '.join(ends)}) JOIN {trees} USING (tree) GROUP BY seed, row)")
+            out.append(f"{p}q{i + 1} AS MATERIALIZED (SELECT {below}, row FROM {p}q{i} JOIN {p}s{i} USING (node) JOIN cells USING (row, f))")
+            ends.append(f"SELECT node, row, b / a::DOUBLE AS v FROM (SELECT * FROM {p}q{i} ANTI JOIN {p}s{i} USING (node)) JOIN {p}n{i} USING (node)")
+        ends.append(f"SELECT node, row, b / a::DOUBLE AS v FROM {p}q{depth} JOIN {p}n{depth} USING (node)")
+        out.append(f"{p}score AS MATERIALIZED (SELECT seed, row, AVG(v) AS score FROM ({' UNION ALL '.join(ends)}) e JOIN {trees} t ON t.tree = e.node // {wide} GROUP BY seed, row)")
     return ",\n    ".join(out)
 
 

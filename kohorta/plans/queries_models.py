@@ -10,7 +10,8 @@ from ..operators.metrics import compute_all_metrics
 from ..operators.scale import Scaler
 from . import bindings as B
 from .bindings import with_sql
-from .queries_stats import corr_sql
+from .forest_sql import EDGES_SQL, bins_sql, elimination_sql, forest_sql, tree_rows
+from .queries_stats import ROC_GRID, ROC_SUMMARY, corr_sql, roc_sql
 from .queries_tables import hash_sql
 from .registry import query
 from .workflow import run_study
@@ -118,14 +119,49 @@ def _(spark, sf):
     return evaluate.leave_one_out("KNearestNeighbor", _people(spark, sf))
 
 
-@query("EV3_leave_one_out_folds", VECTORS + """ SELECT "Record", label AS "True_Label", 'DecisionTree' AS "Model", 1 AS "Execution", TRUE AS answered, TRUE AS agrees
-    FROM vectors""")
+def _scaled_sql(target: str = """CASE WHEN "Diagnosed" = 'Pathological' THEN 1 ELSE 0 END""", features=None) -> str:
+    """CTEs up to `rows` and `cells` (see forest_sql) of the complete cohort, standardised."""
+    features = features or FEATS
+    complete = " AND ".join(f'"{c}" IS NOT NULL' for c in FEATS)
+    cols = ", ".join(f'("{c}" - AVG("{c}") OVER ()) / (CASE WHEN STDDEV_POP("{c}") OVER () = 0 THEN 1 ELSE STDDEV_POP("{c}") OVER () END) AS "{c}"'
+                     for c in features)
+    return with_sql("cohort") + f""", complete AS (SELECT * FROM cohort WHERE {complete}), scaled AS MATERIALIZED (SELECT "Record", {target} AS label, {cols} FROM complete),
+    """ + bins_sql("scaled", features, '"Record"', "label", hash_sql('"Record"', "0"))
+
+
+_VECTOR_ROWS = VECTORS + f""", fv AS MATERIALIZED (SELECT "Record" AS row, UNNEST(range(0, 64))::INTEGER AS f, UNNEST(v) AS x FROM vectors),
+    {EDGES_SQL}, rows AS MATERIALIZED (SELECT "Record" AS row, {hash_sql('"Record"', '0')} AS h, label AS y FROM vectors)"""
+
+
+def _fold_sql(k: int, source: str, seed: int = 42) -> str:
+    """CTEs of k stratified folds: trees, allowed, used and held; the seed of a tree is the fold that it hasn't seen."""
+    return f"""folded AS MATERIALIZED (SELECT row, (ROW_NUMBER() OVER (PARTITION BY label ORDER BY h, row) - 1) % {k} AS fold FROM
+    (SELECT "Record" AS row, label, {hash_sql('"Record"', str(seed))} AS h FROM {source})),
+    trees AS MATERIALIZED (SELECT k AS tree, k AS seed, 0 AS number FROM range(0, {k}) t(k)),
+    used AS MATERIALIZED (SELECT t.seed, row FROM trees t JOIN folded ON fold <> seed), held AS MATERIALIZED (SELECT fold AS seed, row FROM folded)"""
+
+
+def _allowed_sql(d: int) -> str:
+    return f"allowed AS MATERIALIZED (SELECT seed, f FROM (SELECT DISTINCT seed FROM trees), (SELECT UNNEST(range(0, {d}))::INTEGER AS f))"
+
+
+@query("EV3_leave_one_out_folds", _VECTOR_ROWS + ", " + _fold_sql(10, "vectors") + ", " + _allowed_sql(64) + ", "
+       + forest_sql("t_", "trees", "allowed", "used", 64, tried="all", bootstrap=False, held="held")
+       + """ SELECT row AS "Record", CASE WHEN (ROUND(score, 9) > 0.5::DOUBLE) = (y = 1) THEN 1 ELSE 0 END AS "Accuracy", y AS "True_Label",
+    CASE WHEN ROUND(score, 9) > 0.5::DOUBLE THEN 1 ELSE 0 END AS "Predicted", 'DecisionTree' AS "Model", 1 AS "Execution", FALSE AS "Is_SMOTE"
+    FROM t_score JOIN rows USING (row)""")
+def _(spark, sf):
+    return evaluate.leave_one_out("DecisionTree", _vector_table(spark, sf))
+
+
+@query("EV2_leave_patient_out_exact", _VECTOR_ROWS + """, trees AS MATERIALIZED (SELECT row_number() OVER (ORDER BY row) AS tree, row AS seed, 0 AS number FROM rows WHERE y = 1),
+    used AS MATERIALIZED (SELECT seed, row FROM trees JOIN rows ON row <> seed), held AS MATERIALIZED (SELECT seed, seed AS row FROM trees), """ + _allowed_sql(64) + ", "
+       + forest_sql("t_", "trees", "allowed", "used", 64, 3, tried="all", bootstrap=False, held="held")
+       + """ SELECT row AS "Record", 'DecisionTree' AS "Model", 'Pathological' AS "True_Label",
+    CASE WHEN ROUND(score, 9) > 0.5::DOUBLE THEN 'Pathological' ELSE 'Control' END AS "Predicted" FROM t_score""")
 def _(spark, sf):
-    """Every row is predicted once, by the folds without it; the fit itself is no SQL."""
-    rows = evaluate.leave_one_out("DecisionTree", _vector_table(spark, sf))
-    hit = (F.col("Predicted") == F.col("True_Label")).cast("int")
-    return rows.select("Record", "True_Label", "Model", "Execution", F.col("Predicted").isin(0, 1).alias("answered"),
-                       (F.col("Accuracy") == hit).alias("agrees"))
+    """A tree of depth three for every record, each without the record; none is grown whole."""
+    return evaluate.leave_patient_out("DecisionTree", _vector_table(spark, sf), {"max_depth": 3}, folds=None)
 
 
 # ---- resampling ---------------------------------------------------------------------------------
@@ -204,6 +240,50 @@ def _(spark, sf):
     return resample.resampling_analysis(before, after, WIDE)["ks_tests"].select("Feature", "Statistic")
 
 
+_RESAMPLED = VECTORS + _ROWS + _ALL_START + _SMOTE
+
+
+@query("RS6_class_counts", _RESAMPLED + """ SELECT 'before' AS "Stage", "Diagnosed", COUNT(*) AS n FROM rows GROUP BY "Diagnosed"
+    UNION ALL SELECT 'after', "Diagnosed", COUNT(*) FROM resampled GROUP BY "Diagnosed" """)
+def _(spark, sf):
+    before = B.wide_vectors(spark, sf)
+    tables = resample.resampling_analysis(before, resample.resample(before), WIDE)
+    return tables["before"].withColumn("Stage", F.lit("before")).unionByName(tables["after"].withColumn("Stage", F.lit("after"))) \
+        .select("Stage", "Diagnosed", "n")
+
+
+@query("RS6_class_balance", _RESAMPLED + """, b AS (SELECT COUNT(*) AS n FROM rows GROUP BY "Diagnosed"), a AS (SELECT COUNT(*) AS n FROM resampled GROUP BY "Diagnosed")
+    SELECT (SELECT MIN(n) / MAX(n)::DOUBLE FROM b) AS ratio_before, (SELECT MIN(n) / MAX(n)::DOUBLE FROM a) AS ratio_after,
+    (SELECT SUM(n)::BIGINT FROM b) AS rows_before, (SELECT SUM(n)::BIGINT FROM a) AS rows_after, (SELECT SUM(n)::BIGINT FROM a) - (SELECT SUM(n)::BIGINT FROM b) AS rows_added""",
+       "ratio_before, ratio_after")
+def _(spark, sf):
+    before = B.wide_vectors(spark, sf)
+    return resample.resampling_analysis(before, resample.resample(before), WIDE)["balance"]
+
+
+# the share of lattice paths from (0, 0) to (n, m) that touch a gap of d: inside paths are counted a step at a time, as chances
+_GAP_TAIL = """, sizes AS (SELECT n_min AS na, (SELECT COUNT(*) FROM resampled WHERE "Diagnosed" = 'Pathological') AS nb FROM size),
+    lb AS (SELECT UNNEST(v) AS x, GENERATE_SUBSCRIPTS(v, 1) - 1 AS i, 1 AS a FROM mino),
+    la AS (SELECT UNNEST(v) AS x, GENERATE_SUBSCRIPTS(v, 1) - 1 AS i, 0 AS a FROM resampled WHERE "Diagnosed" = 'Pathological'),
+    c AS (SELECT i, x, SUM(a) AS na, SUM(1 - a) AS nb FROM (SELECT * FROM lb UNION ALL SELECT * FROM la) GROUP BY i, x),
+    g AS (SELECT i, ABS(SUM(na) OVER w * (SELECT nb FROM sizes) - SUM(nb) OVER w * (SELECT na FROM sizes)) AS gap FROM c WINDOW w AS (PARTITION BY i ORDER BY x)),
+    top AS (SELECT i AS feature, MAX(gap)::BIGINT AS gap FROM g GROUP BY i), bounds AS (SELECT DISTINCT gap AS bound FROM top WHERE gap > 0),
+    walk AS (SELECT bound, na, nb, 0::BIGINT AS t, list_transform(range(0, na + 1), lambda k: CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p, 0.0::DOUBLE AS hit FROM bounds, sizes
+    UNION ALL SELECT bound, na, nb, t + 1, list_transform(s, lambda v, k: CASE WHEN ABS((k - 1) * nb - (t + 2 - k) * na) >= bound THEN 0.0::DOUBLE ELSE v END),
+    hit + list_sum(list_transform(s, lambda v, k: CASE WHEN ABS((k - 1) * nb - (t + 2 - k) * na) >= bound THEN v ELSE 0.0::DOUBLE END))
+    FROM (SELECT *, list_transform(p, lambda v, k: CASE WHEN t + 1 - k < 0 OR t + 1 - k > nb THEN 0.0::DOUBLE ELSE v * (1.0::DOUBLE - (na + 1 - k) / (na + nb - t)::DOUBLE) END
+    + CASE WHEN k = 1 OR t + 2 - k < 0 OR t + 2 - k > nb THEN 0.0::DOUBLE ELSE p[k - 1] * ((na + 2 - k) / (na + nb - t)::DOUBLE) END) AS s FROM walk WHERE t < na + nb)),
+    tails AS (SELECT bound, hit FROM walk WHERE t = na + nb)
+    SELECT printf('e%02d', feature) AS "Feature", gap / (na * nb)::DOUBLE AS "Statistic", COALESCE(LEAST(1.0::DOUBLE, hit), 1.0::DOUBLE) AS "P-Value",
+    COALESCE(LEAST(1.0::DOUBLE, hit), 1.0::DOUBLE) < 0.05::DOUBLE AS "Significant" FROM top CROSS JOIN sizes LEFT JOIN tails ON bound = gap"""
+
+
+@query("RS6_exact_gap_tests", (_RESAMPLED + _GAP_TAIL).replace("WITH ", "WITH RECURSIVE ", 1), "Statistic, P-Value")
+def _(spark, sf):
+    before = B.wide_vectors(spark, sf)
+    return resample.resampling_analysis(before, resample.resample(before), WIDE)["ks_tests"]
+
+
 # ---- selection ----------------------------------------------------------------------------------
 
 def _complete(spark, sf):
@@ -214,7 +294,12 @@ def _xy(spark, sf, features=FEATS):
     return models.prepare_xy(Scaler().fit_transform(_complete(spark, sf), features), features)
 
 
-@query("FS1_rfe")
+_D = len(FEATS)
+_NAMES_OF = f"(SELECT UNNEST({FEATS})  AS \"Feature\", UNNEST(range(0, {_D})) AS f)"
+
+
+@query("FS1_rfe", _scaled_sql() + ", used AS (SELECT 42::BIGINT AS seed, row FROM rows), " + elimination_sql([42], _D, 3)
+       + f""" SELECT "Feature", COALESCE(size - 2, 1)::INTEGER AS rank FROM {_NAMES_OF} LEFT JOIN edrop USING (f)""")
 def _(spark, sf):
     table = models.training_table(_xy(spark, sf))
     ranking, _curve = select.rfe_path(table, len(FEATS), 42, 3)
@@ -226,7 +311,15 @@ def _(spark, sf):
     return select.rfe_stability(models.training_table(_xy(spark, sf)), FEATS, 4, split.seeds(10))
 
 
-@query("FS3_PD8_rfe_curve")
+def _seventy_sql(seeds) -> str:
+    """CTEs used and held: the rows outside and inside each seed's 30 % of least hashes."""
+    parts = " UNION ALL ".join(f"""SELECT {s}::BIGINT AS seed, "Record" AS row, ROW_NUMBER() OVER (ORDER BY {hash_sql('"Record"', str(s))}, "Record")
+    <= CEIL(0.3::DOUBLE * COUNT(*) OVER ()) AS out FROM scaled""" for s in seeds)
+    return f"parted AS MATERIALIZED ({parts}), used AS (SELECT seed, row FROM parted WHERE NOT out), held AS (SELECT seed, row FROM parted WHERE out)"
+
+
+@query("FS3_PD8_rfe_curve", _scaled_sql() + ", " + _seventy_sql([42]) + ", " + elimination_sql([42], _D, 1, held="held")
+       + f' SELECT size::INTEGER AS "Number of Features", error AS "Score" FROM eerr WHERE size < {_D}', "Score")
 def _(spark, sf):
     return select.rfe_curve(_xy(spark, sf), len(FEATS))
 
@@ -271,7 +364,9 @@ def _(spark, sf):
     return select.binned_mutual_information(B.cohort(spark, sf), FEATS)
 
 
-@query("FS5_rf_importance")
+@query("FS5_rf_importance", _scaled_sql() + ", " + _seventy_sql(split.seeds(10)) + f", trees AS MATERIALIZED ({tree_rows(split.seeds(10), 100)}), "
+       + _allowed_sql(_D) + ", " + forest_sql("t_", "trees", "allowed", "used", _D)
+       + f""" SELECT "Feature", AVG(weight) AS "Importance" FROM t_imp JOIN {_NAMES_OF} USING (f) GROUP BY "Feature" """, "Importance")
 def _(spark, sf):
     return select.rf_importance(models.training_table(_xy(spark, sf)), FEATS, split.seeds(10))
 
@@ -310,26 +405,54 @@ def _(spark, sf):
 
 # ---- models -------------------------------------------------------------------------------------
 
-_HELD = with_sql("cohort") + f""", s AS (SELECT *, {hash_sql('"Record"', '42')} % 10000 < 2000 AS is_test FROM cohort WHERE price_std IS NOT NULL)
-    SELECT '{{name}}' AS "Model", COUNT(*) AS n_test, COUNT(*) FILTER ("Diagnosed" = 'Pathological') AS positives, COUNT(*) AS answered,
-    TRUE AS metrics_agree FROM s WHERE is_test"""
+def _parts(spark, sf):
+    return models.training_table(split.hash_split(_xy(spark, sf), 0.2, 42))
+
+
+_TEST = f"""({hash_sql('row', '42')} % 10000 < 2000)"""
+
+for _key, _model, _trees_n, _tried in (("ML1", "RandomForest", 100, "sqrt"), ("ML2", "DecisionTree", 1, "all"), ("ML6", "Bagging", 10, "all")):
+    def _rows(spark, sf, name=_model):
+        """A model with its default parameters, fitted on four fifths and asked for the rest."""
+        s = _parts(spark, sf)
+        predict = models.fit(name, s.filter(~F.col("is_test")).select("Record", "label", "features"), {})
+        return predict(s.filter("is_test").select("Record", "label", "features")).select("Record", "score", "Predicted")
+
+    query(f"{_key}_{_model}_predictions", _scaled_sql().replace("quantile_cont(x,", f"quantile_cont(CASE WHEN NOT {_TEST} THEN x END,")
+          + f""", trees AS MATERIALIZED ({tree_rows([42], _trees_n)}), used AS (SELECT 42::BIGINT AS seed, row FROM rows WHERE NOT {_TEST}),
+    held AS (SELECT 42::BIGINT AS seed, row FROM rows WHERE {_TEST}), """ + _allowed_sql(_D) + ", "
+          + forest_sql("t_", "trees", "allowed", "used", _D, tried=_tried, bootstrap=_model != "DecisionTree", held="held")
+          + """ SELECT row AS "Record", score, CASE WHEN ROUND(score, 9) > 0.5::DOUBLE THEN 1 ELSE 0 END AS "Predicted" FROM t_score""", "score")(_rows)
+
+
+#: What is asked: whether the lines' price adds up to more than the mean of all records; the sums themselves are held back.
+_ASKED = [c for c in FEATS if c not in ("price_sum", "rev")]
+_HELD = with_sql("cohort") + f""", complete AS (SELECT *, price_sum > AVG(price_sum) OVER () AS above FROM cohort WHERE price_std IS NOT NULL),
+    s AS (SELECT * FROM complete WHERE {hash_sql('"Record"', '42')} % 10000 < 2000)
+    SELECT '{{name}}' AS "Model", COUNT(*) AS n_test, COUNT(*) FILTER (above) AS positives, TRUE AS accurate, TRUE AS calibrated, TRUE AS metrics_agree FROM s"""
 
 
 def _holdout(spark, sf, name: str):
-    """A model with its default parameters on all features, fitted on four fifths and asked for the rest. SQL can't state
-    the fit; it states the rows, the answers, and that each metric is the function of them it should be."""
-    s = models.training_table(split.hash_split(_xy(spark, sf), 0.2, 42))
+    """A model with its default parameters, fitted on four fifths and asked for the rest. SQL can't state the fit; it
+    states the rows asked, that at least 9 of 10 answers are right (one class has little more than half of the rows), that
+    scores rank and are of the right size, and that each metric is the function of the answers it should be."""
+    complete = _complete(spark, sf)
+    mean = complete.agg(F.avg("price_sum")).first()[0]
+    label = F.when(F.col("price_sum") > mean, "Pathological").otherwise("Control")
+    asked = complete.withColumn("Diagnosed", label)
+    s = models.training_table(split.hash_split(models.prepare_xy(Scaler().fit_transform(asked, _ASKED), _ASKED), 0.2, 42))
     predict = models.fit(name, s.filter(~F.col("is_test")).drop("is_test"), {})
-    rows = predict(s.filter("is_test").drop("is_test")).select(
+    rows = models.training_table(predict(s.filter("is_test").drop("is_test")).select(
         F.lit(name).alias("Model"), F.lit("hold-out").alias("Method"), F.lit(1).alias("Execution"),
-        F.col("label").alias("y"), F.col("Predicted").alias("p"), "score")
+        F.col("label").alias("y"), F.col("Predicted").alias("p"), "score"), "Model")
     metrics = compute_all_metrics(rows, score="score")
     y, p = F.col("y") == 1, F.col("p") == 1
     facts = rows.groupBy("Model").agg(
-        F.count(F.lit(1)).alias("n_test"), F.count_if(y).alias("positives"), F.count_if(F.col("p").isin(0, 1)).alias("answered"),
-        F.avg((F.col("y") == F.col("p")).cast("int")).alias("_a"), (F.count_if(y & p) / F.count_if(y)).alias("_s"))
+        F.count(F.lit(1)).alias("n_test"), F.count_if(y).alias("positives"), (F.avg((y == p).cast("int")) >= 0.9).alias("accurate"),
+        ((F.avg(F.abs(F.col("score") - F.col("y"))) < 0.4) & (F.corr("score", F.col("y").cast("double")) > 0.8)).alias("calibrated"),
+        F.avg((y == p).cast("int")).alias("_a"), (F.count_if(y & p) / F.count_if(y)).alias("_s"))
     near = lambda x, z: F.abs(F.col(x) - F.col(z)) < 1e-9
-    return metrics.join(facts, "Model").select("Model", "n_test", "positives", "answered",
+    return metrics.join(facts, "Model").select("Model", "n_test", "positives", "accurate", "calibrated",
                                                (near("Accuracy", "_a") & near("Sensitivity", "_s")).alias("metrics_agree"))
 
 
@@ -365,7 +488,10 @@ def _(spark, sf):
     return evaluate.repeat_executions(_complete(spark, sf), ["DecisionTree", "RandomForest"])["metrics"]
 
 
-@query("EV5_cv_roc")
+@query("EV5_cv_roc", _scaled_sql() + ", " + _fold_sql(5, "scaled") + ", " + _allowed_sql(_D) + ", "
+       + forest_sql("t_", "trees", "allowed", "used", _D, tried="all", bootstrap=False, held="held")
+       + """, predictions AS (SELECT 'DecisionTree' AS "Model", seed AS "Execution", y, score FROM t_score JOIN rows USING (row))"""
+       + roc_sql(["Model", "Execution"], "predictions") + ROC_GRID + ROC_SUMMARY, "mean_auc, std_auc")
 def _(spark, sf):
     return evaluate.cv_roc(_xy(spark, sf), ["DecisionTree"])[1]
 

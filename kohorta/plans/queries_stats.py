@@ -263,7 +263,7 @@ _ECDF = """, e AS (SELECT "Feature", value, SUM(CASE WHEN "Diagnosed" = 'Control
 @query("WN7_ecdf_gap", LONG + _ECDF + ' SELECT "Feature", MAX(ABS(cc / CAST(tc AS DOUBLE) - cp / CAST(tp AS DOUBLE))) AS "Statistic" FROM r GROUP BY "Feature"', "Statistic")
 def _(spark, sf):
     df = B.cohort(spark, sf)
-    return stats.ks_test(C.filter_class(df, "Control"), C.filter_class(df, "Pathological"), FEATS, label=None).select(
+    return stats.ks_test(C.filter_class(df, "Control"), C.filter_class(df, "Pathological"), FEATS, label=None, method="asymptotic").select(
         "Feature", "Statistic")
 
 
@@ -308,7 +308,7 @@ _SPLIT_ECDF = f""", b AS (SELECT *, ROW_NUMBER() OVER (ORDER BY {hash_sql('"Reco
     {kolmogorov_sql('d', 'ta', 'tb')} < 0.05::DOUBLE AS "Significant" FROM g""", "Statistic, P-Value")
 def _(spark, sf):
     df = train_test_split(B.cohort(spark, sf), 0.5, 42)
-    return stats.ks_test(df.filter("is_test").drop("is_test"), df.filter(~F.col("is_test")).drop("is_test"), FEATS)
+    return stats.ks_test(df.filter("is_test").drop("is_test"), df.filter(~F.col("is_test")).drop("is_test"), FEATS, method="asymptotic")
 
 
 # ---- prediction metrics -------------------------------------------------------------------------
@@ -373,7 +373,7 @@ def _(spark, sf):
     return metrics.auc_roc(B.labelled_docs(spark, sf))
 
 
-def _roc_sql(keys: list[str], source: str) -> str:
+def roc_sql(keys: list[str], source: str) -> str:
     k = "".join(f'"{c}", ' for c in keys)
     part = f"PARTITION BY {k[:-2]}" if keys else ""
     return f""", c AS (SELECT {k} score, SUM(y) AS pos, SUM(1 - y) AS neg FROM {source} GROUP BY {k} score),
@@ -382,38 +382,41 @@ def _roc_sql(keys: list[str], source: str) -> str:
     roc AS (SELECT {k} score, (fp - neg) / n0 AS fpr0, (tp - pos) / n1 AS tpr0, fp / n0 AS fpr, tp / n1 AS tpr FROM q)"""
 
 
-@query("WN13_roc_points", DOCS + _roc_sql([], "docs") + " SELECT * FROM roc", "score, fpr0, tpr0, fpr, tpr")
+@query("WN13_roc_points", DOCS + roc_sql([], "docs") + " SELECT * FROM roc", "score, fpr0, tpr0, fpr, tpr")
 def _(spark, sf):
     return metrics.roc_points(B.labelled_docs(spark, sf))
 
 
-@query("WN14_trapezoid", DOCS + _roc_sql([], "docs") + ' SELECT SUM((fpr - fpr0) * (tpr + tpr0) / 2) AS "AUC" FROM roc', "AUC")
+@query("WN14_trapezoid", DOCS + roc_sql([], "docs") + ' SELECT SUM((fpr - fpr0) * (tpr + tpr0) / 2) AS "AUC" FROM roc', "AUC")
 def _(spark, sf):
     return metrics.trapezoid_auc(metrics.roc_points(B.labelled_docs(spark, sf)))
 
 
-@query("PD9_roc_comparison", PRED + _roc_sql(["Model"], "predictions") + " SELECT * FROM roc", "score, fpr0, tpr0, fpr, tpr")
+@query("PD9_roc_comparison", PRED + roc_sql(["Model"], "predictions") + " SELECT * FROM roc", "score, fpr0, tpr0, fpr, tpr")
 def _(spark, sf):
     return metrics.roc_points(B.predictions(spark, sf), ["Model"])
 
 
-_GRID = """, grid AS (SELECT CAST(g AS INTEGER) AS g, g / 99.0::DOUBLE AS x FROM range(0, 100) r(g)),
+ROC_GRID = """, grid AS (SELECT CAST(g AS INTEGER) AS g, g / 99.0::DOUBLE AS x FROM range(0, 100) r(g)),
     onto AS (SELECT "Model", "Execution", grid.g, grid.x, CASE WHEN grid.g = 0 THEN 0.0::DOUBLE ELSE tpr0 + (x - fpr0) * ((tpr - tpr0) / (fpr - fpr0)) END AS tpr
     FROM roc JOIN grid ON x >= fpr0 AND x < fpr UNION ALL SELECT DISTINCT "Model", "Execution", 99, 1.0::DOUBLE, 1.0::DOUBLE FROM roc),
     curve AS (SELECT "Model", g, x, AVG(tpr) AS tpr, STDDEV_POP(tpr) AS std_tpr FROM onto GROUP BY "Model", g, x)"""
 
 
-@query("EV5_mean_roc_curve", PRED + _roc_sql(["Model", "Execution"], "predictions") + _GRID + """ SELECT *, GREATEST(0.0::DOUBLE, tpr - std_tpr) AS lower,
+@query("EV5_mean_roc_curve", PRED + roc_sql(["Model", "Execution"], "predictions") + ROC_GRID + """ SELECT *, GREATEST(0.0::DOUBLE, tpr - std_tpr) AS lower,
     LEAST(1.0::DOUBLE, tpr + std_tpr) AS upper FROM curve""", "x, tpr, std_tpr, lower, upper")
 def _(spark, sf):
     return metrics.mean_roc(B.predictions(spark, sf), "Execution")[0]
 
 
-@query("EV5_mean_roc_summary", PRED + _roc_sql(["Model", "Execution"], "predictions") + _GRID + """,
+ROC_SUMMARY = """,
     fa AS (SELECT "Model", "Execution", SUM((fpr - fpr0) * (tpr + tpr0) / 2) AS auc FROM roc GROUP BY "Model", "Execution"),
     sd AS (SELECT "Model", STDDEV_POP(auc) AS std_auc FROM fa GROUP BY "Model"),
     ma AS (SELECT "Model", SUM(tpr * CASE WHEN g IN (0, 99) THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END) / 99.0::DOUBLE AS mean_auc FROM curve GROUP BY "Model")
-    SELECT ma."Model", mean_auc, std_auc FROM ma JOIN sd ON ma."Model" = sd."Model" """, "mean_auc, std_auc")
+    SELECT ma."Model", mean_auc, std_auc FROM ma JOIN sd ON ma."Model" = sd."Model" """
+
+
+@query("EV5_mean_roc_summary", PRED + roc_sql(["Model", "Execution"], "predictions") + ROC_GRID + ROC_SUMMARY, "mean_auc, std_auc")
 def _(spark, sf):
     return metrics.mean_roc(B.predictions(spark, sf), "Execution")[1]
 

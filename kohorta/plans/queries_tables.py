@@ -327,6 +327,17 @@ def _(spark, sf):
     return C.flag_original(B.cohort(spark, sf).select("Record", "Diagnosed", "rev"))
 
 
+@query("JN9_append_to_resampled", with_sql("cohort") + f""", complete AS (SELECT * FROM cohort WHERE {" AND ".join(f'"{c}" IS NOT NULL' for c in B.COHORT_FEATURES)}),
+    n AS (SELECT COUNT(*) FILTER ("Diagnosed" = 'Control') AS c, COUNT(*) FILTER ("Diagnosed" = 'Pathological') AS p FROM complete)
+    SELECT 'o:' || CAST("Record" AS VARCHAR) AS row_id, CAST("Record" AS VARCHAR) AS "Record", "Diagnosed", FALSE AS "Is_SMOTE" FROM complete
+    UNION ALL SELECT 's:' || CAST(UNNEST(range(0, c - p)) AS VARCHAR), 'SMOTE', 'Pathological', TRUE FROM n""")
+def _(spark, sf):
+    """Record, class and origin of every row of a resampled matrix."""
+    from ..operators import resample
+    df = C.drop_missing(B.cohort(spark, sf))
+    return resample.smote(df, features=B.COHORT_FEATURES, keep_row_id=True).select("row_id", "Record", "Diagnosed", "Is_SMOTE")
+
+
 # ---- set operations -----------------------------------------------------------------------------
 
 @query("SE1_concatenate_groups", with_sql("cohort") + """ SELECT "Record", "Diagnosed", rev, NULL::DOUBLE AS "Pr01" FROM cohort WHERE "Diagnosed" = 'Control'
@@ -570,6 +581,25 @@ def _(spark, sf):
     return quality.validation_summary(quality.validate_dataset(_with_inf(spark, sf)))
 
 
+_LINES = """SELECT CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS rank,
+    CONCAT_WS(' ', UPPER(severity), "check", detail, CAST(n AS VARCHAR)) AS line FROM {checks}"""
+
+
+@query("AG10_validation_text", _LINES.format(checks=f"({_VALIDATION}) AS checks"))
+def _(spark, sf):
+    return quality.validation_text(quality.validate_dataset(_with_inf(spark, sf)))
+
+
+@query("AG10_validation_merge", f"""SELECT COUNT(*) FILTER (severity = 'error') = 0 AS is_valid, COUNT(*) FILTER (severity = 'warning') > 0 AS has_warnings,
+    COUNT(*) FILTER (severity = 'error') AS errors, COUNT(*) FILTER (severity = 'warning') AS warnings, COUNT(*) FILTER (severity = 'success') AS successes
+    FROM (SELECT severity FROM ({_VALIDATION}) AS checks UNION ALL SELECT CASE WHEN COUNT(*) > COUNT(DISTINCT o_custkey) THEN 'warning' ELSE 'success' END FROM orders
+    UNION ALL SELECT CASE WHEN COUNT(*) > COUNT(o_custkey) THEN 'warning' ELSE 'success' END FROM orders UNION ALL SELECT 'error') AS merged""")
+def _(spark, sf):
+    """The cohort's checks and those of another table that lacks the class column."""
+    other = B.table(spark, sf, "orders").select(F.col("o_custkey").cast("bigint").alias("Record"))
+    return quality.validation_summary(quality.validate_dataset(_with_inf(spark, sf)).unionByName(quality.validate_dataset(other)))
+
+
 @query("AG25_shape", with_sql("cohort") + " SELECT COUNT(*) AS n_rows, 12 AS n_columns FROM cohort")
 def _(spark, sf):
     return quality.shape(B.cohort(spark, sf))
