@@ -370,7 +370,8 @@ class Binned:
 def edges_of(table: DataFrame, features: str = "features", bins: int = MISSING) -> list[np.ndarray]:
     """At most `bins` - 1 cuts per feature: exact quantiles of the values that aren't missing, to nine decimals."""
     long = table.select(F.posexplode(vector_to_array(features)).alias("i", "x"))
-    d = (long.agg(F.max("i")).first()[0] or -1) + 1
+    last = long.agg(F.max("i")).first()[0]
+    d = 0 if last is None else last + 1
     probs = {f"q{j}": j / bins for j in range(1, bins)}
     got = quantiles(long.where(~F.isnan("x")), ["i"], "x", probs).collect()  # a row per feature
     rows = {r["i"]: np.unique(np.round([r[q] for q in probs], 9)) for r in got}

@@ -1,9 +1,11 @@
+import itertools
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kohorta.functions.formulas import exact_gap_tail, exact_u_tail
 from kohorta.operators import clean, metrics, scale, stats
 
 
@@ -182,3 +184,33 @@ def test_scalers(spark, cohort, method):
     np.testing.assert_allclose(back["good"], x)
     with pytest.raises(ValueError):
         scale.Scaler("other")
+
+
+# ---- exact tails of small samples ---------------------------------------------------------------
+
+def test_exact_tails_are_full_enumeration():
+    for n1, n2 in ((1, 1), (2, 3), (3, 3), (4, 5), (4, 8)):
+        u = np.array([sum(c) - n1 * (n1 - 1) // 2 for c in itertools.combinations(range(n1 + n2), n1)])
+        for k in range(n1 * n2 + 1):
+            assert exact_u_tail(n1, n2, k) == pytest.approx(min(1.0, 2 * (u >= max(k, n1 * n2 - k)).mean()), abs=1e-12)
+    for n, m in ((1, 1), (2, 3), (4, 4), (5, 3), (6, 6)):
+        gaps = []
+        for c in itertools.combinations(range(n + m), n):
+            i = np.cumsum(np.isin(np.arange(n + m), c))
+            gaps.append(np.abs(i * m - (np.arange(1, n + m + 1) - i) * n).max())
+        for k in range(1, n * m + 1):
+            assert exact_gap_tail(n, m, k / (n * m)) == pytest.approx((np.array(gaps) >= k).mean(), abs=1e-12)
+
+
+def test_exact_tails_meet_the_asymptotic_ones(spark):
+    assert exact_gap_tail(1500, 1500, 0.05) == pytest.approx(0.0469, abs=0.002)
+    rng = np.random.default_rng(4)
+    rows = [("Control" if i < 7 else "Pathological", float(v)) for i, v in enumerate(rng.permutation(60))]
+    df = spark.createDataFrame(rows, "Diagnosed string, x double")
+    exact, rough = (stats.mann_whitney(df, ["x"], method=m).first() for m in ("auto", "asymptotic"))
+    assert exact["U"] == rough["U"] and exact["P-Value"] == pytest.approx(exact_u_tail(7, 53, exact["U"]))
+    assert exact["P-Value"] != rough["P-Value"] and exact["P-Value"] == pytest.approx(rough["P-Value"], abs=0.03)
+    tied = df.unionAll(df)
+    assert stats.mann_whitney(tied, ["x"]).first()["P-Value"] == stats.mann_whitney(tied, ["x"], method="asymptotic").first()["P-Value"]
+    gap = stats.ks_test(df.where("x < 30"), df.where("x >= 20"), ["x"], label=None).first()
+    assert gap["P-Value"] == pytest.approx(exact_gap_tail(30, 40, gap["Statistic"]))

@@ -287,3 +287,11 @@ def test_generations_share_folds(table, monkeypatch):
 def test_missing_values_have_a_bin():
     edges = [np.array([0.0, 1.0])]
     assert to_bins(np.array([[-1.0], [0.0], [0.5], [2.0], [np.nan]]), edges)[:, 0].tolist() == [0, 0, 1, 2, MISSING]
+
+
+def test_tables_of_one_feature_and_of_none(spark):
+    df = spark.createDataFrame([(i, int(i > 5), [float(i)]) for i in range(12)], "id int, label int, v array<double>").select(
+        "id", "label", array_to_vector("v").alias("features"))
+    out = models.fit("DecisionTree", df)(df)
+    assert out.where("Predicted <> label").count() == 0
+    assert trees.edges_of(df.limit(0)) == []
