@@ -199,7 +199,8 @@ def search(df: DataFrame, is_query, *, k: int = 20, id_col: str = "vec_id", vect
 
     shape = " long, n long, ids binary, cells binary, x binary"
     blocks = stored(rows.select("id", "v", "key").mapInArrow(pack("block"), "block" + shape), "blocks")
-    asked = stored(rows.where(is_query).select("id", "v", "key").dropDuplicates(["id", "key"]).mapInArrow(pack("chunk"), "chunk" + shape), "queries")
+    queries = rows.where(is_query).select("id", "v", "key").dropDuplicates(["id", "key"]).repartition(chunks)
+    asked = stored(queries.mapInArrow(pack("chunk"), "chunk" + shape), "queries")
     numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))
     n_blocks = int((home + copies).max())
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
