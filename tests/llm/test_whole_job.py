@@ -4,8 +4,10 @@ import random
 
 import numpy as np
 
+import xxhash
+
 import corpus_pipeline
-from kohorta.llm import descent, lines
+from kohorta.llm import descent, lines, resemblance
 
 
 def distance(a, b):
@@ -85,7 +87,7 @@ def jaccard(a, b, width=5):
     return len(a & b) / len(a | b)
 
 
-def test_near_dedup_equals_all_pairs(spark):
+def test_resemblance_equals_all_pairs(spark):
     """Copies of 60 to 200 words with some words changed: similarities around 0.8 and far more than 2 bits apart."""
     rng = random.Random(4)
     stock, given = words(rng), []
@@ -101,10 +103,40 @@ def test_near_dedup_equals_all_pairs(spark):
     linked = [(a, b) for a in range(len(given)) for b in range(a) if jaccard(given[a], given[b]) >= 0.8]
     want = [i for i, x in enumerate(labels(len(given), linked)) if x == i]
     df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").repartition(3)
-    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == want
+    assert sorted(r.doc_id for r in resemblance.groups(df, id_col="doc_id").where("doc_id = component_id").collect()) == want
     assert len(want) < len(given) - 25
 
 
+def fingerprint(text):
+    w = text.split()
+    hashes = [xxhash.xxh64_intdigest(" ".join(w[i: i + 3]), 42) for i in range(max(bool(w), len(w) - 2))]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def test_near_dedup_stage_equals_all_fingerprint_pairs(spark):
+    """The pipeline's stage keeps one document of each group within 2 bits, and every other document, with its columns."""
+    rng = random.Random(6)
+    stock, given = words(rng), []
+    for _ in range(12):
+        doc = rng.choices(stock, k=400)
+        given.append(" ".join(doc))
+        for changes in (1, 1, 2, 40):
+            copy = list(doc)
+            for _ in range(changes):
+                copy[rng.randrange(400)] = rng.choice(stock)
+            given.append(" ".join(copy))
+    given += [given[0], given[3], "", "  ", "one two", "one two", None]
+    fps = [fingerprint(t or "") for t in given]
+    linked = [(a, b) for a in range(len(given)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2]
+    want = [i for i, x in enumerate(labels(len(given), linked)) if x == i]
+    rows = [(i, t, f"kept {i}") for i, t in enumerate(given)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row__ string").repartition(3)
+    got = corpus_pipeline.near_dedup(spark, df, "")
+    assert got.columns == df.columns
+    assert sorted(tuple(r) for r in got.collect()) == [rows[i] for i in want]
+    assert 12 < len(want) < len(given) - 12
+
+
 def test_saturated_groups_are_joined(spark):
     """Two groups of 150 vectors, closer inside (above 0.99) than across (0.90 to 0.92): lists hold 80 at most."""
     rng = np.random.default_rng(1)
