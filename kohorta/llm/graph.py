@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,19 +50,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .union(roots.select("node", F.col("node").alias("component")))
 
 
-def bucket_groups(buckets: DataFrame, fits: Callable[[str, str], str], alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def bucket_groups(buckets: DataFrame | list[DataFrame], fits: Callable[[str, str], str], alike: Callable[[DataFrame], DataFrame],
+                  kind: str = "0") -> DataFrame:
     """(node, component) of the nodes that are linked to others of a bucket; `buckets` has key, node, size and n.
 
-    `fits` says in SQL whether two sizes allow a link, `alike` returns the pairs (a, b) that are links. All nodes of a bucket
-    are compared with the one of most occurrences n. Then each that isn't in the leader's group is compared with all others
-    of the bucket outside its own group: two nodes of a bucket are in one group or were compared.
+    `fits` says in SQL whether two sizes allow a link, `alike` returns the pairs (a, b) that are links of pairs (a, b, kind),
+    where `kind` is SQL of the key. All nodes of a bucket are compared with the one of most occurrences n. Then each that
+    isn't in the leader's group is compared with all others of the bucket outside its own group: two nodes of a bucket are
+    in one group or were compared. Several tables with keys of their own are dealt out one after the other.
     """
-    led = buckets.withColumn("lead", F.expr("first(struct(node, size)) over (partition by key order by n desc, node)")) \
-        .withColumn("m", F.expr("count(*) over (partition by key)")).where("m > 1").drop("m", "n")
-    led = stored(led, "buckets")
+    led = []
+    for table in buckets if isinstance(buckets, list) else [buckets]:
+        # the order puts the leader first; buckets of one node, nearly all, go before anything is stored
+        led.append(stored(table.withColumn("lead", F.expr("first(struct(node, size)) over (partition by key order by n desc, node)"))
+                          .withColumn("m", F.expr("count(*) over (partition by key)")).where("m > 1").drop("m", "n"), "buckets"))
+    shares = led
+    led = reduce(DataFrame.union, shares)
     near = led.where("node <> lead.node").where(fits("size", "lead.size")) \
-        .select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b")).distinct()
-    links = stored(alike(stored(near, "pairs")), "led")
+        .select(F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b"), F.expr(kind).alias("kind")).distinct()
+    near = stored(near, "pairs")
+    links = stored(alike(near), "led")
+    discard(near)
     label = stored(components(links), "label")
 
     def named(df: DataFrame, node: str, to: str) -> DataFrame:
@@ -70,9 +79,12 @@ def bucket_groups(buckets: DataFrame, fits: Callable[[str, str], str], alike: Ca
 
     parts = named(led.select("key", "node", "size", F.col("lead.node").alias("lead")), "node", "part")
     parts = stored(named(parts, "lead", "main").select("key", "node", "size", "part", "main", "lead"), "parts")
+    discard(*shares, label)
     x = parts.where("part <> main").select("key", F.col("node").alias("a"), F.col("size").alias("sa"), F.col("part").alias("pa"))
     y = parts.select("key", F.col("node").alias("b"), F.col("size").alias("sb"), F.col("part").alias("pb"), "main", "lead")
     # nodes outside the leader's group meet each other once, and the leader has met all
     rest = x.join(y, "key").where("pa <> pb and b <> lead and (pb = main or a > b)").where(fits("sa", "sb")) \
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return components(links.union(alike(stored(rest, "rest"))))
+        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.expr(kind).alias("kind")).distinct()
+    rest = stored(rest, "rest")
+    discard(parts)
+    return components(links.union(alike(rest)))
