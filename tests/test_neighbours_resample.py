@@ -138,3 +138,22 @@ def test_repeated_records_are_rows_of_their_own(spark):
     assert out.select("row_id").distinct().count() == 100
     train, test, whole = evaluate.split_and_scale(df, ["a", "b"], 42, method=None)
     assert whole.select("row_id").distinct().count() == 70 and test.count() == 14
+
+
+@pytest.mark.parametrize("exclude", ["Record", "grp"])
+def test_cells_send_a_query_once_to_a_block(spark, monkeypatch, exclude):
+    """On data without structure no bound helps: still a query goes to each block once, not to every one of many cells."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(600, 24))
+    rows = [(i, i % 50, [float(x) for x in r]) for i, r in enumerate(v)]
+    df = spark.createDataFrame(rows, "Record bigint, grp int, v array<double>").repartition(3)
+    kept = {}
+    write = nb.materialise
+    monkeypatch.setattr(nb, "materialise", lambda t, name: kept.setdefault(name, write(t, name)))
+    got = {}
+    for r in nb.knn_join(df, df, 5, exclude=exclude, broadcast_bytes=0, block_rows=4).collect():
+        got.setdefault(r["Record"], {})[r["neighbour_rank"]] = r["neighbour"]
+    same = (lambda i, j: i == j) if exclude == "Record" else (lambda i, j: i % 50 == j % 50)
+    assert {i: [g[r] for r in sorted(g)] for i, g in got.items()} == brute(v, rows, 5, 2, same)
+    routes = kept["knn-routes"].selectExpr("size(blocks) AS n", "size(array_distinct(blocks)) AS different").collect()
+    assert len(routes) == 600 and all(r["n"] == r["different"] <= 14 for r in routes)
