@@ -157,3 +157,13 @@ def test_cells_send_a_query_once_to_a_block(spark, monkeypatch, exclude):
     assert {i: [g[r] for r in sorted(g)] for i, g in got.items()} == brute(v, rows, 5, 2, same)
     routes = kept["knn-routes"].selectExpr("size(blocks) AS n", "size(array_distinct(blocks)) AS different").collect()
     assert len(routes) == 600 and all(r["n"] == r["different"] <= 14 for r in routes)
+
+
+def test_many_pairs_go_by_cells_however_few_bytes(points, monkeypatch):
+    """A table that fits a broadcast isn't compared pair by pair when there are too many pairs."""
+    df, v, rows = points
+    monkeypatch.setattr(nb, "BROADCAST_PAIRS", len(rows) ** 2 - 1)
+    monkeypatch.setattr(nb, "_broadcast_join", lambda *a: pytest.fail("all pairs compared"))
+    got = nb.knn_join(df, df, 1, exclude="Record").collect()
+    want = brute(v, rows, 1, 2, lambda i, j: i == j)
+    assert {r["Record"]: [r["neighbour"]] for r in got} == want
