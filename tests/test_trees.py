@@ -295,3 +295,16 @@ def test_tables_of_one_feature_and_of_none(spark):
     out = models.fit("DecisionTree", df)(df)
     assert out.where("Predicted <> label").count() == 0
     assert trees.edges_of(df.limit(0)) == []
+
+
+def test_best_first_looks_ahead(table, monkeypatch):
+    """A tree of 16 leaves takes passes for its depth, not for its leaves, and is the same."""
+    passes, splits = [], trees._splits
+    monkeypatch.setattr(trees, "_splits", lambda *a: passes.append(1) or splits(*a))
+    here = bin_table(table, "row_id")
+    apart = bin_table(table, "row_id", edges=here.edges, local_bytes=0)
+    plan = Plan(9, 0, Rules("gini", 20, "all", leaves=16), (0, 1, 2, 3), None, False)
+    tree = grow_apart(apart, [plan], lambda p, x: (np.ones(len(x["y"])), x["y"]))[0]
+    t = here.local
+    np.testing.assert_array_equal(values(tree, t["bins"]), values(grow_here(plan, t["bins"], np.ones(len(t["y"])), t["y"]), t["bins"]))
+    assert (tree.feature < 0).sum() == 16 and len(passes) <= 10
