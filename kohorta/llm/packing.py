@@ -13,6 +13,7 @@ empty table; null ids are packed like others.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 
@@ -25,6 +26,22 @@ from .pieces import Dictionary
 from .shared import stored, sub_batches
 
 
+@functools.cache
+def _encoders(path: str, *version):
+    """(tokenizer of whole texts, its special tokens, dictionary of pieces), kept by a worker from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    model, whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    for m in (model, whole):
+        m.no_truncation()
+        m.no_padding()
+    model.encode_special_tokens = True
+    special = [t.content for t in whole.get_added_tokens_decoder().values()]
+    return whole, special, Dictionary(lambda new: [x.ids for x in model.encode_batch_fast([p.decode() for p in new],
+                                                                                           add_special_tokens=False)])
+
+
 def tokenised(docs: DataFrame, path: str, *, window: int = 1024, end_id: int = 0, id_col: str = "doc_id",
               text_col: str = "text") -> DataFrame:
     """Pieces of at most `window` ids: doc_id, start, length, ids_crc32, doc_tokens.
@@ -35,17 +52,8 @@ def tokenised(docs: DataFrame, path: str, *, window: int = 1024, end_id: int = 0
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model, whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        for m in (model, whole):
-            m.no_truncation()
-            m.no_padding()
-        model.encode_special_tokens = True
-        special = [t.content for t in whole.get_added_tokens_decoder().values()]
-        seen = Dictionary(lambda new: [x.ids for x in model.encode_batch_fast([p.decode() for p in new],
-                                                                              add_special_tokens=False)])
+        stat = os.stat(path)
+        whole, special, seen = _encoders(path, stat.st_mtime_ns, stat.st_size)
         for batch in batches:
             keys, raw = batch.column(0), batch.column(1).to_pylist()
             row, start, length, crc, total = [], [], [], [], []

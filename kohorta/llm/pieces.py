@@ -21,7 +21,8 @@ SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 def classes() -> np.ndarray:
     """Class of every code point. White space is Unicode's White_Space property."""
     kinds = {"L": LETTER, "N": NUMBER}
-    out = np.array([kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)], np.uint8)
+    out = np.full(0x110000, OTHER, np.uint8)  # from plane 4 on: unassigned, tags, private use
+    out[:0x40000] = [kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x40000)]
     for first, last in ((9, 13), (32, 32), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
                         (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)):
         out[first: last + 1] = SPACE
@@ -77,7 +78,8 @@ def split(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Dictionary:
     """Ids of pieces already seen by this worker. `encode` turns a list of new pieces (bytes) into lists of ids.
 
-    Pieces are found by a 64-bit hash; the dictionary starts anew when it holds `limit` pieces, so it is bounded.
+    Pieces are found by a 64-bit hash. When it holds `limit` pieces those that came again since they were learned stay, if
+    they are at most half as many, so it is bounded.
     """
 
     def __init__(self, encode, limit: int = 300_000, seed: int = 7):
@@ -87,6 +89,17 @@ class Dictionary:
     def _clear(self) -> None:
         self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.first, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.again = np.zeros(0, bool)
+
+    def _shrink(self) -> None:
+        keep = self.again[self.slot]
+        if 2 * keep.sum() > self.limit:
+            return self._clear()
+        self.known, old = self.known[keep], self.slot[keep]
+        self.flat = self.flat[runs(self.first[old], self.count[old])]
+        self.count = self.count[old]
+        self.first = np.cumsum(self.count) - self.count
+        self.slot, self.again = np.arange(len(old)), np.zeros(len(old), bool)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text)."""
@@ -97,11 +110,12 @@ class Dictionary:
         h = self.hashes.of(self.hashes.prefixes(data), begin, end)
         uniq, where, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.known) > self.limit:
-            self._clear()
+            self._shrink()
         i = np.searchsorted(self.known, uniq)
         hit = np.zeros(len(uniq), bool)
         inside = i < len(self.known)
         hit[inside] = self.known[i[inside]] == uniq[inside]
+        self.again[self.slot[i[hit]]] = True
         if not hit.all():
             self._learn(uniq[~hit], data.tobytes(), begin[where[~hit]], end[where[~hit]])
             i = np.searchsorted(self.known, uniq)
@@ -118,5 +132,6 @@ class Dictionary:
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(count) - count])
         slot = np.arange(len(self.count), len(self.count) + len(count))
         self.count, self.flat = np.concatenate([self.count, count]), np.concatenate([self.flat, flat])
+        self.again = np.concatenate([self.again, np.zeros(len(count), bool)])
         at = np.searchsorted(self.known, hashes)
         self.known, self.slot = np.insert(self.known, at, hashes), np.insert(self.slot, at, slot)

@@ -435,3 +435,23 @@ def test_language_defined_cases(spark):
     model = langid.fit(spark.createDataFrame([(1, None, "en"), (2, "x", None)], "doc_id long, text string, lang string"))
     assert {r.lang_pred for r in langid.identify(frame(spark, ODD), model).collect()} == {"und"}
     assert langid.identify(empty(spark), model, spans=True).count() == 0
+
+
+def test_dictionary_keeps_what_comes_again():
+    """Frequent pieces aren't encoded anew each time rare ones fill the dictionary; ids stay right."""
+    from kohorta.llm.pieces import Dictionary, classes
+
+    asked = []
+
+    def encode(new):
+        asked.extend(new)
+        return [list(p) for p in new]
+
+    kept = Dictionary(encode, limit=50)
+    for i in range(20):
+        texts = ["often here", " ".join(f"w{chr(97 + i)}{'x' * j}" for j in range(30))]
+        ids, counts = kept.ids(texts)
+        assert bytes(ids.astype(np.uint8)).decode() == "".join(texts) and counts.tolist() == [len(t) for t in texts]
+        assert len(kept.known) <= 50 + 40
+    assert asked.count(b"often") == 1 and asked.count(b" here") == 1
+    assert classes()[[0x41, 0x2A6D0, 0x323AF, 0xE0100, 0xF0000, 0x10FFFD]].tolist() == [1, 1, 1, 3, 3, 3]
