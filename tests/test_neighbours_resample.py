@@ -39,6 +39,38 @@ def test_knn_exact(points, options, metric, p, exclude):
     assert {i: [g[r] for r in sorted(g)] for i, g in got.items()} == want
 
 
+@pytest.mark.parametrize("p", [1.0, 2.0])
+@pytest.mark.parametrize("spread,shift", [(1.0, 0.0), (1e-6, 3.0), (50.0, -1e9)])
+def test_knn_later_rows_are_compared_coarsely(monkeypatch, p, spread, shift):
+    """Every pair is compared in full only until a query has k rows; the answer is that of all pairs."""
+    rng = np.random.default_rng(11)
+    t = rng.normal(size=(9000, 12)) * spread + shift
+    t[4000:4100] = t[100:200]
+    q, ids, full = t[:300], np.arange(9000), []
+    whole = nb._within
+    monkeypatch.setattr(nb, "_within", lambda a, b, *rest: full.append(len(a) * len(b)) or whole(a, b, *rest))
+    r, c, d = nb._nearest(q, t, 5, p, ids[:300], ids)
+    assert sum(full) < 0.5 * len(q) * len(t)
+    for i in range(0, 300, 7):
+        gap = np.abs(t - q[i])
+        far = np.round(gap.sum(axis=1) if p == 1.0 else np.sqrt((gap * gap).sum(axis=1)), nb.DIGITS)
+        want = [j for _, j in sorted((x, j) for j, x in enumerate(far) if j != i)[:5]]
+        assert c[r == i].tolist() == want and d[r == i].tolist() == far[want].tolist()
+
+
+def test_knn_coarse_pairs_lose_none():
+    rng = np.random.default_rng(12)
+    t, q = rng.normal(size=(3000, 20)), rng.normal(size=(200, 20))
+    for p in (1.0, 2.0):
+        far = np.array([nb._exact(np.broadcast_to(x, t.shape), t, p) for x in q])
+        radius = np.sort(far, axis=1)[:, 30]
+        coarse = nb._Coarse(q, t, p)
+        r, c = coarse.pairs(*coarse.queries(q), radius, 1000, 3000)
+        named = set(zip(r.tolist(), (c + 1000).tolist()))
+        near = {(i, j) for i, j in zip(*np.nonzero(far <= radius[:, None])) if j >= 1000}
+        assert near <= named and len(named) < 1.5 * len(near)
+
+
 def test_knn_far_queries(spark, points):
     """Queries that live in cells without training rows still find their neighbours."""
     df, v, _ = points
