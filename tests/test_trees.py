@@ -308,3 +308,26 @@ def test_best_first_looks_ahead(table, monkeypatch):
     t = here.local
     np.testing.assert_array_equal(values(tree, t["bins"]), values(grow_here(plan, t["bins"], np.ones(len(t["y"])), t["y"]), t["bins"]))
     assert (tree.feature < 0).sum() == 16 and len(passes) <= 10
+
+
+def test_depths_of_one_tree_grow_once(table, monkeypatch):
+    """Plans that differ by their depth only are levels of one tree, equal ones the same tree."""
+    binned, asked = bin_table(table, "row_id", [F.hash("row_id") % 3 != 0]), []
+    plans = [p for d in (2, 6, 0, 4, 6) for p in forest_plans(2, 7, Rules(depth=d), range(4), 0)]
+    plans += [Plan(9, 0, Rules("gini", d, "all", leaves=5), (0, 1, 2, 3), 0, False) for d in (2, 20)]
+    each = trees._grow_each
+    alone = [each(binned, [p])[0] for p in plans]
+    monkeypatch.setattr(trees, "_grow_each", lambda b, some: asked.extend(some) or each(b, some))
+    for p, a, b in zip(plans, grow(binned, plans), alone):
+        for name in trees.Tree.__dataclass_fields__:
+            np.testing.assert_array_equal(getattr(a, name), getattr(b, name), err_msg=f"{p} {name}")
+    assert len(asked) == 4
+
+
+def test_equal_candidates_are_fitted_once(table, monkeypatch):
+    xy, asked = table.select("row_id", "label", "features"), []
+    whole = search.tree_job
+    monkeypatch.setattr(search, "tree_job", lambda name, p, *rest: asked.append(p) or whole(name, p, *rest))
+    got = search.cv_accuracy("DecisionTree", xy, [{"maxDepth": 2}, {"maxDepth": 3}, {"maxDepth": 2}], k=2, key="row_id")
+    assert len(asked) == 4 and got[0] == got[2]
+    assert got[:2] == [search.cv_accuracy("DecisionTree", xy, [{"maxDepth": d}], k=2, key="row_id")[0] for d in (2, 3)]
