@@ -8,6 +8,7 @@ from ..functions import columns as C
 from ..operators import clean, functionals, metrics, perturbation, scale, stats
 from ..operators.ordered import mid_rank, quantiles, running
 from ..operators.split import train_test_split
+from ..session import materialise
 from . import bindings as B
 from .bindings import with_sql
 from .queries_tables import hash_sql, kolmogorov_sql, labelled_predictions, normal_sql, student8_sql
@@ -637,4 +638,5 @@ for _method, _sql, _names in (
     SELECT "Feature", value, CAST(SUM(c) OVER (PARTITION BY "Feature" ORDER BY value) AS BIGINT) AS cum FROM n""", "value")
 def _(spark, sf):
     counts = _long(spark, sf).groupBy("Feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts, "counts")  # sized, cut and summed: derived once
     return running(counts, ["Feature"], ["value"], {"cum": F.col("n")}, rows_per_bucket=1000).drop("n")

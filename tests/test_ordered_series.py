@@ -151,3 +151,12 @@ def test_split_and_whole_groups_agree_on_null_keys_ties_and_long_prefixes(spark)
     totals = ordered.running(df.groupBy("g", "v").count(), ["g"], ["v"], {"c": F.col("count")}, sizing=df, rows_per_bucket=40,
                              totals=True)
     assert {(r.g, r.c_total) for r in totals.collect()} == {(None, 500), ("g1", 500), ("g2", 500)}
+
+
+def test_split_points_are_bounded(spark):
+    """A group of any size has few split points; the sums are those of every row."""
+    df = spark.range(20000).select(F.lit("a").alias("g"), (F.col("id") * 7 % 20011).cast("double").alias("x"))
+    points = ordered._split_points(df, ["g"], "x", 2).first()["_fine"]
+    assert 1000 < len(points) <= ordered._FAN ** 2
+    got = ordered.running(df, ["g"], ["x"], {"n": F.lit(1)}, rows_per_bucket=2).select("x", "n").orderBy("x").collect()
+    assert [r["n"] for r in got] == list(range(1, 20001))
