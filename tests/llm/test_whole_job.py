@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 
 import corpus_pipeline
-from kohorta.llm import descent, lines, resemblance
+from kohorta.llm import descent, graph, lines, resemblance
 
 
 def distance(a, b):
@@ -152,3 +152,27 @@ def test_saturated_groups_are_joined(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = {r.vec_id: (r.component_id, r.n_links) for r in descent.near_duplicates(df, audit=1, rounds=2).collect()}
     assert got == {i: (0, int(hit[i].sum())) for i in range(300)}
+
+
+def test_unlikely_pairs_are_dropped_in_their_bucket(spark, monkeypatch):
+    """Lines that share six words and few min-hashes: only pairs that go on to the edit test are dealt out and stored."""
+    rng = random.Random(7)
+    stock = words(rng)
+    head = " ".join(stock[:6])
+    given = [f"{head} {' '.join(rng.choices(stock, k=14))}" for _ in range(80)]
+    dealt, tested, put, alike = [], [], graph.stored, lines.alike
+
+    def noted(df, name):
+        out = put(df, name)
+        if name in ("pairs", "rest"):
+            dealt.append(out.count())
+        return out
+
+    def seen(docs, places, near, similarity):
+        tested.append(near.count())
+        return alike(docs, places, near, similarity)
+
+    monkeypatch.setattr(graph, "stored", noted)
+    monkeypatch.setattr(lines, "alike", seen)
+    assert kept(spark, given, every=True) == firsts(given)
+    assert dealt == tested and len(dealt) == 2
