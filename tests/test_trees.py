@@ -6,8 +6,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from kohorta.operators import evaluate, models, search, select, svm, trees
-from kohorta.operators.trees import (FIXED, MISSING, Boost, Plan, Rules, bin_table, boost_apart, boost_here, forest_plans, grow,
-                                     grow_apart, grow_here, grow_side_by_side, left_out_here, left_out_scores, to_bins)
+from kohorta.operators.trees import (BINS, FIXED, MISSING, Boost, Plan, Rules, bin_table, boost_apart, boost_here, forest_plans,
+                                     grow, grow_apart, grow_here, grow_side_by_side, left_out_here, left_out_scores, to_bins)
 
 
 def impurity(rules, a, b):
@@ -331,3 +331,24 @@ def test_equal_candidates_are_fitted_once(table, monkeypatch):
     got = search.cv_accuracy("DecisionTree", xy, [{"maxDepth": 2}, {"maxDepth": 3}, {"maxDepth": 2}], k=2, key="row_id")
     assert len(asked) == 4 and got[0] == got[2]
     assert got[:2] == [search.cv_accuracy("DecisionTree", xy, [{"maxDepth": d}], k=2, key="row_id")[0] for d in (2, 3)]
+
+
+@pytest.mark.parametrize("criterion", ["gini", "newton"])
+def test_large_nodes_alone_and_small_ones_together(monkeypatch, criterion):
+    """Trees don't depend on which nodes have rows of their own."""
+    rng = np.random.default_rng(3)
+    n, d = 500, 5
+    bins = rng.integers(0, BINS, (n, d)).astype(np.uint8)
+    y, h = (bins[:, 0] + rng.integers(0, 30, n) > 25).astype(float), rng.integers(0, 2**32, n)
+    plans = forest_plans(3, 5, Rules(criterion, 8, 2, min_leaf=0.01), range(d))
+    stats = [(np.rint(rng.random(n) * FIXED) / FIXED, np.rint((rng.random(n) - 0.5) * FIXED) / FIXED) if criterion == "newton"
+             else (w := p.weights(h, np.zeros((n, 0), bool)), w * y) for p in plans]
+    grown = []
+    for alone in (1, 40, 1 << 30):
+        monkeypatch.setattr(trees, "ALONE", alone)
+        grown.append(grow_side_by_side(plans, bins, stats))
+    for other in grown[1:]:
+        for a, b in zip(grown[0], other):
+            for name in trees.Tree.__dataclass_fields__:
+                np.testing.assert_array_equal(getattr(a, name), getattr(b, name))
+    assert min((t.feature < 0).sum() for t in grown[0]) > 8
